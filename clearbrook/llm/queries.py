@@ -7,7 +7,8 @@ from .decontaminate import op9_decontaminate
 from .language import op3_language_id
 from .mixing import op5_mix_sources
 from .quality import op10_quality
+from .secrets import op8_secret_scan
 from .urls import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_language_id, op5_mix_sources, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_language_id, op5_mix_sources, op8_secret_scan, op9_decontaminate, op10_quality)}
 ORACLES: dict[str, str] = {}
