@@ -158,21 +158,21 @@ def _leak_finder(held: Broadcast) -> Callable[..., Column]:
     return leaks
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with a column ``leaks``: an array of struct<item_id, start_word, n_words, n_equal>, empty where the text
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, out: str = "leaks") -> DataFrame:
+    """docs with column ``out``, which replaces one of that name: an array of struct<item_id, start_word, n_words, n_equal>, empty where the text
     leaks nothing.  No shuffle; the documents stay where they are."""
     items = columns_of(benchmark, "item_id", "text").filter("text is not null and item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
-    out, columns = docs, []
+    held_docs, columns = docs, []
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.col("text")), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
         part = sorted((r["item_id"], r["text"]) for r in part)
         held = docs.sparkSession.sparkContext.broadcast(vars(Benchmark([i for i, _ in part], [t for _, t in part])))
 
         columns.append(f"_leaks{k}")
-        out = out.withColumn(columns[-1], _leak_finder(held)(F.col("text")))
-    return out.withColumn("leaks", F.concat(*columns)).drop(*columns)
+        held_docs = held_docs.withColumn(columns[-1], _leak_finder(held)(F.col("text")))
+    return held_docs.withColumn(out, F.concat(*columns)).drop(*columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,15 +185,15 @@ def forest_score(x: Column, forest: list[Tree]) -> Column:
     return reduce(lambda a, b: a + b, map(walk, forest)) / len(forest)
 
 
-def scan(docs: DataFrame, forest: list[Tree], threshold: float = 0.5) -> DataFrame:
-    """docs with findings, an array of struct<start, value, score, secret> with all candidates, and scrubbed, the text
-    with MASK in place of every secret.  Rows stay where they are: nothing is shuffled or exploded."""
+def scan(docs: DataFrame, forest: list[Tree], threshold: float = 0.5, out: str = FINDINGS, clean: str = "scrubbed") -> DataFrame:
+    """docs with two columns, which replace any of their names: ``out``, an array of struct<start, value, score, secret>
+    with all candidates, and ``clean``, the text with MASK in place of every secret.  Rows stay where they are: nothing is shuffled or exploded."""
     rows = located(docs).withColumn("_x", features(F.col("_found")))
     rows = rows.withColumn("_scores", F.transform("_x", lambda x: forest_score(x, forest)))
     found = F.transform("_found", lambda f, i: F.struct(f["start"].alias("start"), f["value"].alias("value"), F.get("_scores", i).alias("score"), (F.get("_scores", i) >= threshold).alias("secret")))
-    rows = rows.withColumn(FINDINGS, found)
-    parts = F.transform("_gaps", lambda g, i: F.concat(g, F.when(F.get(FINDINGS, i)["secret"], F.lit(MASK)).otherwise(F.get("_values", i))))
-    rows = rows.withColumn("scrubbed", F.when(F.exists(FINDINGS, lambda f: f["secret"]), F.concat(F.array_join(parts, ""), F.col("_rest"))).otherwise(F.col("text")))
+    rows = rows.withColumn(out, found)
+    parts = F.transform("_gaps", lambda g, i: F.concat(g, F.when(F.get(out, i)["secret"], F.lit(MASK)).otherwise(F.get("_values", i))))
+    rows = rows.withColumn(clean, F.when(F.exists(out, lambda f: f["secret"]), F.concat(F.array_join(parts, ""), F.col("_rest"))).otherwise(F.col("text")))
     return rows.drop("_has", "_gaps", "_values", "_ends", "_rest", "_found", "_x", "_scores")
 
 
