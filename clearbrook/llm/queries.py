@@ -10,7 +10,8 @@ from .near_dup import op6_near_dup
 from .neighbours import op4_nearest
 from .quality import op10_quality
 from .secrets import op8_secret_scan
+from .suffix_dedup import op7_suffix_dedup
 from .urls import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_language_id, op4_nearest, op5_mix_sources, op6_near_dup, op8_secret_scan, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_language_id, op4_nearest, op5_mix_sources, op6_near_dup, op7_suffix_dedup, op8_secret_scan, op9_decontaminate, op10_quality)}
 ORACLES: dict[str, str] = {}
