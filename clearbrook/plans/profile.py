@@ -30,18 +30,19 @@ def first_values(df: DataFrame, rows: int = PATTERN_ROWS) -> DataFrame:
 
 
 def detect_patterns(values: DataFrame) -> DataFrame:
-    """One row per column of (column, value): n, a share for each value pattern and each date format, and samples."""
+    """One row per column of (column, value): n, a share for each value pattern, and date0, date1, ..., one for each date
+    format in its order of trial."""
     hits = [F.avg(matches(F.col("value"), p).cast("int")).alias(k) for k, p in VALUE_PATTERNS.items()]
-    dates = [F.avg(fits_format(F.col("value"), java).cast("int")).alias(py) for py, java in DATE_FORMATS.items()]
+    dates = [F.avg(fits_format(F.col("value"), java).cast("int")).alias(f"date{i}") for i, java in enumerate(DATE_FORMATS.values())]
     return values.groupBy("column").agg(F.count("*").alias("n"), *hits, *dates)
 
 
 def _patterns(row: Any) -> dict[str, dict[str, Any]]:
     found = {k: {"match_ratio": round(row[k], 3), "pattern": p} for k, p in VALUE_PATTERNS.items() if row[k] > PATTERN_SHARE}
     if not found:
-        for py in DATE_FORMATS:
-            if row[py] > DATE_SHARE:
-                return {"date": {"match_ratio": round(row[py], 3), "format": py}}
+        for i, py in enumerate(DATE_FORMATS):
+            if row[f"date{i}"] > DATE_SHARE:
+                return {"date": {"match_ratio": round(row[f"date{i}"], 3), "format": py}}
     return found
 
 

@@ -75,13 +75,11 @@ def _read_delimited(sep: str) -> Callable[..., DataFrame]:
         names = text.columns
         if not names:
             return text
-        wide = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad_row", T.StringType())])
-        raw = spark.read.options(**base, columnNameOfCorruptRecord="_bad_row", mode="PERMISSIVE").schema(wide).csv(path)
-        fields = F.from_csv(F.col("_bad_row"), F.lit(", ".join(f"f{i} string" for i in range(len(names) + 1))), {"sep": sep_, "escape": '"'}) if "_bad_row" not in names else None
-        if fields is not None:
-            over = raw.select(fields.alias("x")).filter(F.col(f"x.f{len(names)}").isNotNull()).limit(1).count()
-            if over:
-                raise SourceError(f"Failed to read {path}: expected {len(names)} fields, a row has more")
+        # one column more than the header has: it is filled only where a row has too many fields
+        wide = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_more"]])
+        raw = spark.read.options(**{**base, "mode": "PERMISSIVE", "enforceSchema": True}).schema(wide).csv(path)
+        if raw.filter(F.col("_more").isNotNull()).limit(1).count():
+            raise SourceError(f"Failed to read {path}: expected {len(names)} fields, a row has more")
         kept = raw.select(*[F.when(~F.col(f"`{n}`").isin(MISSING_TEXTS), F.col(f"`{n}`")).alias(n) for n in names])
         return _inferred(kept)
 
@@ -105,6 +103,13 @@ def _write_delimited(sep: str) -> Callable[..., None]:
     return lambda df, path, **o: df.write.mode("overwrite").options(**{"header": True, "sep": sep, "escape": '"', **o}).csv(path)
 
 
+def _read_json(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    """An array of records, or one record a line: the first sign tells."""
+    first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
+    array = bool(first) and first[0]["value"].lstrip().startswith("[")
+    return spark.read.options(**{"multiLine": array, **options}).json(path)
+
+
 def _excel(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     try:
         import openpyxl  # noqa: F401
@@ -124,7 +129,7 @@ def _to_excel(df: DataFrame, path: str, **options: Any) -> None:
 
 register_adapter("csv", Adapter(_read_delimited(","), _write_delimited(",")))
 register_adapter("tsv", Adapter(_read_delimited("\t"), _write_delimited("\t")))
-register_adapter("json", Adapter(lambda s, p, **o: s.read.options(**{"multiLine": True, **o}).json(p), lambda df, p, **o: df.write.mode("overwrite").options(**o).json(p)))
+register_adapter("json", Adapter(_read_json, lambda df, p, **o: df.write.mode("overwrite").options(**o).json(p)))
 register_adapter("parquet", Adapter(lambda s, p, **o: s.read.options(**o).parquet(p), lambda df, p, **o: df.write.mode("overwrite").options(**o).parquet(p)))
 register_adapter("xlsx", Adapter(_excel, _to_excel))
 register_adapter("xls", Adapter(_excel, _to_excel))
