@@ -44,9 +44,13 @@ CONVERSIONS = {"types.boolean", "types.numeric", "formats.standardize_dates"}
 CASE_CHANGES = {"formats.lowercase", "formats.uppercase", "formats.titlecase"}
 
 
+#: What a transformer does when it isn't told.
+DEFAULTS = {"missing": "drop_rows", "formats": "strip_whitespace", "types": "numeric", "columns": "drop"}
+
+
 def step_name(transformer: str, params: dict[str, Any]) -> str:
     """The transformer with what it does, like "missing.fill_mode"."""
-    detail = next((params[k] for k in ("strategy", "operation", "target_type") if params.get(k)), None)
+    detail = next((params[k] for k in ("strategy", "operation", "target_type") if params.get(k)), DEFAULTS.get(transformer))
     return f"{transformer}.{detail}" if detail else transformer
 
 
