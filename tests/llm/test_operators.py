@@ -1,0 +1,355 @@
+"""Corpus operators against brute force, planted cases and odd rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clearbrook.llm import chat, common, decontaminate, language, mixing, near_dup, neighbours, quality, secrets, suffix_dedup, urls
+from clearbrook.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, extra int, score string"
+ODD = [(1, None, None, None, 1, "x"), (2, "", "", "s", 1, "x"), (3, "12 34 !!", "en", "s", 1, "x"), (4, "the cat sat on the mat", "en", "s", 1, "x"), (4, "the cat sat on the mat", "en", "s", 1, "x"), (None, "the cat sat on the mat", "en", None, 1, "x"), (5, "word " * 30_000, "en", "t", 1, "x")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# --- shared arrays
+
+
+def test_pieces_keep_every_character():
+    texts = ["ab cd ef", None, "x" * 25, ""]
+    got = defaultdict(str)
+    for index, parts in common.pieces(texts, 7):
+        for i, p in zip(index, parts):
+            got[i] += p
+    assert [got[i] for i in range(4)] == ["ab cd ef", "", "x" * 25, ""]
+
+
+def test_spans_hash_alike_wherever_they_stand():
+    codes, offsets = common.code_points(["aa bb aa", "bb aa"])
+    s, e, owner = common.word_spans(codes, offsets)
+    h = common.span_hashes(codes, s, e)
+    assert list(owner) == [0, 0, 0, 1, 1] and h[0] == h[2] == h[4] and h[1] == h[3] != h[0]
+
+
+def test_components_are_the_smallest_nodes(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(1, 2), (5, 5)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(links).collect()}
+    assert {got[i] for i in range(10, 41)} == {10} and got[2] == 1 and got[5] == 5
+
+
+# --- 1
+
+
+def test_url_rules_and_odd_urls(spark):
+    rows = ["https://A.Example.COM/en/71?q", "http://example.com/en/8", "http://x.net/de/1", "http://example.net/de/8", "http://notexample.net/de/8", "ftp://example.org/es/", "http://a.com", None, "no scheme", "http://bestcasinobonus.example.org/pills", "http://city-library.example.org/a"]
+    got = {r["url"]: r for r in urls.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")).collect()}
+    assert [(got[u]["rule"], got[u]["verdict"]) for u in rows[:6]] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
+    assert (got[None]["host"], got[None]["path"], got[None]["verdict"]) == ("", "", "allow") and got["no scheme"]["host"] == ""
+    assert (got["http://a.com"]["host"], got["http://a.com"]["path"]) == ("a.com", "")
+    assert got[rows[9]]["words"][:3] == ["h:best", "h:casino", "h:bonus"] and got[rows[9]]["verdict"] == "block" and got[rows[10]]["verdict"] == "allow"
+
+
+# --- 2
+
+
+def test_chat_digest_equals_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    want = {r[0]: r[1:] for r in c.sql(chat.OP2_SQL).fetchall()}
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op2_chat_format(spark, SF).collect()}
+    assert got == want
+
+
+def test_chat_windows_fit_and_round_trip(spark):
+    rows = [(1, 0, "system", "be # nice\\")] + [(1, i, "user" if i % 2 else "assistant", f"\\### Assistant: </turn> {i} " + "word " * (i * 7 % 90)) for i in range(1, 30)] + [(2, 0, None, None), (None, 1, "us:er", "x"), (1, 30, "user", "long " * 900)]
+    wins = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=200, history=60)
+    got = wins.select("*", chat.read_turns(F.col("text"), F.col("n_repeated")).alias("new"), chat.read_loss(F.col("text"), F.col("spans")).alias("loss")).orderBy("window").collect()
+    one = [r for r in got if r["conv_id"] == 1]
+    assert [(t["role"], t["text"]) for r in one for t in r["new"]] == [(r, t) for c, _, r, t in rows if c == 1]
+    assert "".join(r["loss"] for r in one) == "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert all(r["tokens"] <= 200 or len(r["new"]) == 1 for r in one) and all(r["text"].startswith("### system: ") for r in one)
+    assert any(r["n_repeated"] > 1 for r in one)
+    assert [(t["role"], t["text"]) for r in got if r["conv_id"] is None for t in r["new"]] == [("us:er", "x")]
+
+
+# --- 3 and 10
+
+
+def test_language_of_held_out_documents(spark, documents):
+    got = language.op3_language_id(spark, SF).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert got and sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_odd_rows(spark, odd, none):
+    model = language.fit(odd)
+    got = [(r["doc_id"], r["lang_pred"]) for r in language.predict_language(odd, model).select("doc_id", "lang_pred").collect()]
+    assert sorted(got, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "en"), (5, "en")], key=str)
+    assert language.predict_language(none, language.fit(none)).count() == 0
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(0)
+    z = rng.normal(size=(4000, 3))
+    labels = np.array([rng.choice(3, p=np.exp(r) / np.exp(r).sum()) for r in z])
+    assert abs(language.fit_temperature(z * 4, labels) - 4) < 0.5
+
+
+def test_quality_of_held_out_documents(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.op10_quality(spark, SF).join(labels, "doc_id").collect()
+    assert sum(r["quality"] == r["predicted"] for r in got) / len(got) > 0.95
+    assert quality.op10_quality(spark, SF).count() == documents.count()
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (9, 1)], "doc_id long, quality int")
+    got = quality.score_quality(odd, quality.fit(odd, labels), out="_q").collect()
+    assert len(got) == 7 and all(0 <= r["_q"] <= 1 for r in got) and got[0]["score"] == "x"
+    assert quality.fit(none, labels.limit(0)).score(["a", None]).tolist() == [0.5, 0.5]
+
+
+# --- 4
+
+
+def test_neighbours_against_brute_force(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    e = table.toPandas()
+    v, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()
+    vectors = common.written(neighbours.valid_vectors(table), "v")
+    index, shards = neighbours.build_index(vectors, shard_rows=150)
+    got = defaultdict(list)
+    for r in neighbours.search_index(index, shards, vectors.filter("vec_id % 100 = 0")).orderBy("rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((v - v[ids == q]) ** 2).sum(1))
+        best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        hits += len(set(best) & {i for i, _ in found})
+        assert all(abs(s - d[ids == i][0]) < 1e-12 for i, s in found) and len(found) == 10
+    assert shards > 1 and hits / (10 * len(got)) >= 0.9
+
+
+def test_neighbours_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.1]), (6, [2.0, 0.0])]
+    vectors = common.written(neighbours.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "v")
+    index, shards = neighbours.build_index(vectors)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.search_index(index, shards, vectors.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 5, 0.0), (2, None, pytest.approx(0.1)), (3, 6, 1.0), (4, 6, 1.0)]
+    crowd = neighbours.Graph.built(np.arange(300, dtype=float)[:, None])
+    assert crowd.search(np.array([150.2]), 20)[:3] == [150, 151, 149]
+
+
+# --- 5
+
+
+def test_mix_meets_its_targets(spark, documents):
+    got = mixing.mix_sources(documents).join(documents.select("doc_id", "source"), "doc_id").collect()
+    text = {r["doc_id"]: r["text"] for r in documents.collect()}
+    by = defaultdict(list)
+    for r in got:
+        assert r["size"] == len(words(text[r["doc_id"]])) and r["taken"] <= 3 * r["size"]
+        by[r["source"]].append(r)
+    for rows in by.values():
+        assert sum(r["size"] for r in rows) == rows[0]["source_size"] and abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 1
+    again = mixing.mix_sources(documents.repartition(3)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+
+
+def test_mix_targets_and_odd_rows(spark, odd, none):
+    assert mixing.default_weights(["b", None, "a", "c"]) == [2, 1, 1, 3]
+    t = mixing.capped_targets([10, 1000, 0], [3, 1, 2])
+    assert t == [30, 980, 0]
+    assert mixing.capped_targets([], []) == [] and mixing.mix_sources(none).count() == 0
+    got = mixing.mix_sources(odd).collect()
+    assert len(got) == 7 and sum(r["taken"] for r in got) == sum(r["size"] for r in got) == 30_000 + 18 + 3
+    # ranks of the schedule run from 0 without a gap, whatever the chunks
+    plan = mixing.schedule(spark, [(0, 0.2), (1, 0.8)], 10_000).collect()
+    for sid, share in ((0, 0.2), (1, 0.8)):
+        ranks = [r["rank"] for r in sorted(plan, key=lambda r: r["slot"]) if r["sid"] == sid]
+        assert ranks == list(range(len(ranks))) and abs(len(ranks) - share * 10_000) < 10
+
+
+# --- 6
+
+
+def brute_components(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("small,most", [(32, 4096), (2, 4096), (2, 3)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, small, most):
+    rng = np.random.default_rng(small + most)
+    rows, base = [], [f"w{rng.integers(400)}" for _ in range(120)]
+    for i in range(60):
+        w = list(base) if i < 40 else [f"v{rng.integers(400)}" for _ in range(60)]
+        for _ in range(int(rng.integers(0, 12))):
+            w[int(rng.integers(len(w)))] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(w).upper() if i % 5 == 0 else " ".join(w)))
+    rows += [(100 + i, rows[i % 3][1]) for i in range(12)] + [(200, "one two"), (201, "ONE  two"), (202, "one"), (203, ""), (204, None)]
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "MOST", most)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n"], r["component_id"]) for r in got} == brute_components(rows, 4, 80)
+    assert sum(r["first"] for r in got) == len({r["component_id"] for r in got})
+
+
+def test_near_duplicates_odd_rows(spark, odd, none):
+    got = near_dup.near_duplicates(odd, width=5).collect()
+    assert len(got) == 7 and sum(r["first"] for r in got) == 5 and {r["component_id"] for r in got} == {1, 2, 3, 4, 5}
+    assert near_dup.near_duplicates(none).count() == 0
+
+
+# --- 7
+
+
+def brute_removed(data, length):
+    count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        cover = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                cover[i : i + length] = True
+        edge = np.diff(np.concatenate([[0], cover.astype(int)]))
+        out.append((len(d), int(cover.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(d, np.uint8)[~cover].tobytes()).hexdigest()))
+    return out
+
+
+def test_intervals_of_the_transform():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        length = int(rng.integers(1, 7))
+        parts = list(dict.fromkeys(bytes(rng.integers(97, 99, rng.integers(0, 30), dtype=np.uint8)) for _ in range(int(rng.integers(1, 8)))))
+        copies = rng.integers(1, 3, len(parts))
+        count = Counter()
+        for p, k in zip(parts, copies):
+            count.update({p[i : i + length]: int(k) for i in range(0)})
+            for i in range(len(p) - length + 1):
+                count[p[i : i + length]] += int(k)
+        got = suffix_dedup.repeated_windows(parts, copies, length)
+        assert all([count[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] == list(g) for p, g in zip(parts, got))
+
+
+@pytest.mark.parametrize("hot", [16_384, 1])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    shared, other = letters(340), letters(260)
+    texts = [letters(300) + shared + letters(50), shared[40:] + letters(10), letters(90) + other, other + letters(5), "ab" * 300, "ab" * 130, "é" * 250, None, "", "short", letters(199), letters(900)]
+    texts += [texts[-1], texts[0][:250] + "Z" + texts[0][251:]] + [letters(int(rng.integers(1, 9))) + shared + letters(9) for _ in range(6)]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = spark.createDataFrame([(0, i, i, (t or "").encode()) for i, t in enumerate(texts)], "fid long, rix long, doc_id long, data binary")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed([(t or "").encode() for t in texts], 200)
+
+
+def test_long_texts_are_taken_in_pieces():
+    data = [bytes(np.random.default_rng(1).integers(97, 123, suffix_dedup.PASS + 900, dtype=np.uint8))]
+    n = sum(int(suffix_dedup.segments(d, e)[1].sum()) for _, _, d, e in suffix_dedup._text_pieces(data, 200))
+    assert n == len(data[0]) - 199
+
+
+# --- 8
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train_forest(secrets.labelled_findings(spark))
+
+
+def test_secrets_of_labelled_findings(spark, forest):
+    fresh = secrets.labelled_findings(spark, 4_800).withColumn("row", F.monotonically_increasing_id()).filter("row >= 0")
+    got = secrets.scan(fresh, forest).select("label", F.explode("findings").alias("f")).select((F.col("label") == F.col("f.secret").cast("double")).alias("ok")).collect()
+    assert sum(r["ok"] for r in got) / len(got) > 0.97
+
+
+def test_secrets_are_masked_in_place(spark, forest):
+    key = hashlib.sha1(b"k").hexdigest()
+    rows = [(f"ähm token = \"{key}\" und commit {key[::-1]} ende",), (None,), ("",), ("nothing here",), ((f"word token = {key} " * 400),)]
+    got = secrets.scan(spark.createDataFrame(rows, "text string").coalesce(1), forest).collect()
+    first = got[0]
+    assert first["scrubbed"] == f'ähm token = "{secrets.MASK}" und commit {key[::-1]} ende'
+    assert [rows[0][0][f["start"] : f["start"] + len(f["value"])] == f["value"] for f in first["findings"]] == [True, True]
+    assert got[1]["scrubbed"] is None and got[1]["findings"] == [] and got[2]["scrubbed"] == "" and got[3]["scrubbed"] == "nothing here"
+    assert len(got[4]["findings"]) == 400 and key not in got[4]["scrubbed"]
+
+
+def test_secret_scan_runs_no_python(spark, forest):
+    plan = secrets.scan(spark.createDataFrame([("a",)], "text string"), forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+# --- 9
+
+
+def test_leaks_are_found_despite_substitutions(spark):
+    rng = np.random.default_rng(9)
+    some = lambda n: [f"w{rng.integers(5000)}" for _ in range(n)]
+    items = [some(30), some(16), some(45), ["only", "three", "words"]]
+    changed = list(items[2])
+    for k in (4, 13, 22, 31, 40):
+        changed[k] = "zzz"
+    docs = [some(40) + items[0] + some(20), [w.upper() + "!!" for w in items[1]], some(9) + changed, some(300), some(5) + items[0][:6] + some(9), ["Only", "three,", "words."], [], items[2][10:26] + some(3)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(99, None)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(7, None), (8, "")], "item_id long, text string")
+    for block in (250_000, 20):
+        got = {(r["doc_id"], x["item_id"]): x for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=block).collect() for x in r["leaks"]}
+        assert set(got) == {(0, 0), (1, 1), (2, 2), (5, 3), (7, 2)}
+        assert (got[0, 0]["start_word"], got[0, 0]["n_words"]) == (40, 30) and got[2, 2]["n_equal"] == 40
+
+
+def test_leaks_of_odd_rows(spark, odd, none):
+    bench = spark.createDataFrame([(0, "the cat sat on the mat")], "item_id long, text string")
+    got = decontaminate.find_leaks(odd, bench).collect()
+    assert sorted(len(r["leaks"]) for r in got) == [0, 0, 0, 0, 1, 1, 1]
+    assert decontaminate.find_leaks(none, bench).count() == 0 and all(r["leaks"] == [] for r in decontaminate.find_leaks(odd, bench.limit(0)).collect())
+
+
+def test_leaks_in_the_documents(spark, documents):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r["item_id"], " ".join(words(r["text"]))) for r in bench.collect()]
+    want = {(r["doc_id"], i) for r in documents.collect() for i, t in items if t in " ".join(words(r["text"]))}
+    assert want <= {(r["doc_id"], r["item_id"]) for r in decontaminate.op9_decontaminate(spark, SF).collect()}
+    assert math.isclose(min((r["similarity"] for r in decontaminate.op9_decontaminate(spark, SF).collect()), default=1.0), 1.0, abs_tol=0.2)
