@@ -138,14 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     return QualityModel(*train(vectors, got["quality"].to_numpy()))
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Adds score, the probability of quality 1."""
+def score_quality(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
+    """docs with the probability of quality 1 in column ``out``, which replaces one of that name."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts.tolist()))
 
-    return docs.withColumn("score", score(F.col("text")))
+    return docs.withColumn(out, score(F.col("text")))
 
 
 def learned_on(docs: DataFrame, labels: DataFrame) -> QualityModel:
