@@ -95,7 +95,8 @@ class Segmenter:
         for w in known:
             held[w] += weight
         total = sum(held.values()) or 1.0
-        self.cost = {w: -math.log(n / total) for w, n in held.items() if w in known or len(w) > 3}
+        # a run that is only known as a whole costs its letters besides, so that it is split where its words are known
+        self.cost = {w: -math.log(n / total) + (0 if w in known else len(w)) for w, n in held.items() if w in known or len(w) > 3}
         self.unknown = math.log(total) + 3.0
         self.longest = max(map(len, self.cost), default=1)
         self.split = lru_cache(200_000)(self._split)
