@@ -35,6 +35,9 @@ SEARCH_WIDTH = 192
 #: Queries that meet one shard at a time.
 QUERY_ROWS = 8_192
 
+#: Stands for a null vec_id in an index.
+NO_ID = 2**63 - 1
+
 INDEX = "dim int, shard int, rows binary, ids binary, node binary, vectors binary, levels binary, base binary, upper binary, entry int"
 FOUND = "query_rid long, query_id long, vec_id long, score double"
 
@@ -149,14 +152,13 @@ class Graph:
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's index row."""
-    rows = rows.sort_values(["vec_id", "rid"], na_position="last", kind="stable")
+    rows = rows.sort_values(["vec_id", "rid"], kind="stable")
     vectors = np.array(rows["v"].tolist(), np.float64)
     seen: dict[bytes, int] = {}
     node = np.array([seen.setdefault(v.tobytes(), len(seen)) for v in vectors + 0.0], np.int32)
     first = np.unique(node, return_index=True)[1]
     g = Graph.built(vectors[first])
-    has = rows["vec_id"].notna().to_numpy()
-    ids = np.where(has, rows["vec_id"].fillna(0).to_numpy(), np.iinfo(np.int64).max).astype(np.int64)
+    ids = rows["vec_id"].to_numpy(np.int64)
     return pd.DataFrame([[int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0]), rows["rid"].to_numpy(np.int64).tobytes(), ids.tobytes(), node.tobytes(), g.vectors.tobytes(), g.levels.tobytes(), g.base.tobytes(), g.upper.tobytes(), g.entry]], columns=["dim", "shard", "rows", "ids", "node", "vectors", "levels", "base", "upper", "entry"])
 
 
@@ -171,7 +173,7 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
     """The index table, written to the shared folder, and its number of shards."""
     shards = max(1, -(-vectors.count() // shard_rows))
-    rows = vectors.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
+    rows = vectors.withColumn("vec_id", F.coalesce("vec_id", F.lit(NO_ID))).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     return written(rows.groupBy("dim", "shard").applyInPandas(_build, INDEX), "hnsw"), shards
 
 
@@ -203,7 +205,7 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 10,
 
     keys = ["dim", "shard", "block"]
     found = graphs.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(search, FOUND)
-    found = found.withColumn("vec_id", F.when(F.col("vec_id") != np.iinfo(np.int64).max, F.col("vec_id")))
+    found = found.withColumn("vec_id", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")))
     rank = F.row_number().over(Window.partitionBy("query_rid").orderBy("score", F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
