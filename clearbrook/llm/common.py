@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(df: DataFrame, name: str) -> DataFrame:
+    """written(), after which the shuffle files that led there can go."""
+    out = written(df, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Deletes a table of written() that no later plan reads."""
     jvm, sc = spark._jvm, spark.sparkContext
@@ -140,3 +149,17 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def sparse_counts(texts: list[str | None], features: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the buckets below ``buckets`` that it has features in, in order, and how many in each."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for index, parts in pieces(texts):
+        found, offsets = features(parts)
+        for i, a, b in zip(index, offsets[:-1], offsets[1:]):
+            n = np.bincount(found[a:b], minlength=buckets)[:buckets]
+            if i in held:  # a text in several pieces
+                n[held[i][0]] += held[i][1]
+            at = np.flatnonzero(n)
+            held[i] = at.astype(np.int32), n[at].astype(np.int32)
+    return [held[i] for i in range(len(texts))]

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of the learned vectors of its hashed features: words, word pairs, and the character
-n-grams (3 and 4 characters) of words with their borders marked.  A softmax layer stands on top; vectors and layer are
+trigrams of words with their borders marked.  A softmax layer stands on top; vectors and layer are
 trained together by stochastic gradient descent in numpy on a bounded sample of labelled documents.  A word that
 repeats the one before it gives a pair feature that all such pairs share, so that repetition is learned as such.
 
@@ -15,6 +15,7 @@ rows is scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, columns_of, crc_mod, mix, pieces, span_hashes, word_spans
+from .common import code_points, columns_of, crc_mod, mix, pieces, span_hashes, sparse_counts, word_spans
 
 BUCKETS = 1 << 16
 DIM = 8
-CHAR_ORDERS = (3, 4)
+CHAR_ORDERS = (3,)
 #: Labelled documents that training takes, about.
-SAMPLE = 4_000
+SAMPLE = 2_500
 THRESHOLD = 0.3
 
 
@@ -65,9 +66,10 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order], np.searchsorted(owner[order], np.arange(len(parts) + 1))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 10) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, least: int = 16_000, rate: float = 0.5, seed: int = 10) -> tuple[np.ndarray, float]:
     """(table, bias): each bucket's logit for label 1 against label 0, after training vectors and softmax layer.
-    rows: buckets and counts of each document."""
+    rows: buckets and counts of each document.  Few rows are gone through more often, for ``least`` steps."""
+    epochs = max(epochs, -(-least // len(rows)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
@@ -118,24 +120,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            held: dict[int, np.ndarray] = {}
-            for index, parts in pieces(texts):
-                buckets, offsets = features(parts)
-                for i, a, b in zip(index, offsets[:-1], offsets[1:]):
-                    held[i] = held.get(i, 0) + np.bincount(buckets[a:b], minlength=BUCKETS)
-            at = [np.flatnonzero(held[i]).astype(np.int32) for i in range(len(texts))]
-            yield pd.DataFrame({"doc": batch["doc"], "quality": batch["quality"], "at": at, "n": [held[i][a].astype(np.int32) for i, a in enumerate(at)]})
+            found = sparse_counts(batch["text"].tolist(), features, BUCKETS)
+            packed = [zlib.compress(np.concatenate([np.diff(at, prepend=np.int32(0)), n]).tobytes(), 6) for at, n in found]
+            yield pd.DataFrame({"doc": batch["doc"], "quality": batch["quality"], "packed": packed})
 
     # at most about ``sample`` rows of two numbers: small enough to send to every executor
     rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string").alias("doc"), "quality", "text")
-    got = rows.mapInPandas(counted, "doc string, quality int, at array<int>, n array<int>").toPandas()
-    got["size"] = got["n"].map(len)
-    got = got.sort_values(["doc", "quality", "size"], kind="stable")
-    vectors = [(np.asarray(a), np.asarray(n, float)) for a, n in zip(got["at"], got["n"])]
-    if not vectors:
+    got = [tuple(r) for r in rows.mapInPandas(counted, "doc string, quality int, packed binary").toLocalIterator()]
+    if not got:
         return QualityModel(np.zeros(BUCKETS), 0.0)
-    return QualityModel(*train(vectors, got["quality"].to_numpy()))
+    got.sort()
+    got.reverse()
+    vectors, marked = [], []
+    while got:
+        _, quality, packed = got.pop()  # freed one by one
+        both = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1)
+        vectors.append((np.cumsum(both[0]).astype(np.uint16), both[1].astype(np.uint16 if not both[1].size or both[1].max() < 1 << 16 else np.int32)))
+        marked.append(quality)
+    return QualityModel(*train(vectors, np.array(marked)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
