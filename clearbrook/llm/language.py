@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, columns_of, crc_mod, mix, pieces
+from .common import code_points, columns_of, crc_mod, mix, pieces, sparse_counts
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -67,10 +67,6 @@ def ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.ravel(), np.concatenate([[0], np.cumsum(counts) * len(ORDERS)])
 
 
-def _counted(grams: np.ndarray, a: int, b: int) -> np.ndarray:
-    return np.bincount(grams[a:b], minlength=BUCKETS + 1)[:BUCKETS]
-
-
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, bias) of k classes by FTRL-proximal; rows: indices and values of each document's features."""
     z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
@@ -178,21 +174,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            held: dict[int, np.ndarray] = {}
-            for index, parts in pieces(texts):
-                grams, offsets = ngrams(parts)
-                for i, a, b in zip(index, offsets[:-1], offsets[1:]):
-                    held[i] = held.get(i, 0) + _counted(grams, a, b)
-            at = [np.flatnonzero(held[i]).astype(np.int32) for i in range(len(texts))]
-            yield pd.DataFrame({"doc": batch["doc"], "lang": batch["lang"], "at": at, "n": [held[i][a].astype(np.int32) for i, a in enumerate(at)]})
+            found = sparse_counts(batch["text"].tolist(), ngrams, BUCKETS)
+            yield pd.DataFrame({"doc": batch["doc"], "lang": batch["lang"], "at": [at.astype(np.uint16).tobytes() for at, _ in found], "n": [n.tobytes() for _, n in found]})
 
     picked = rows.filter(drawn < F.element_at(share, F.col("lang"))).select(F.col("doc_id").cast("string").alias("doc"), "lang", "text")
-    got = picked.mapInPandas(features, "doc string, lang string, at array<int>, n array<int>").toPandas()
-    got["size"] = got["n"].map(len)
-    got = got[got["size"] > 0].sort_values(["doc", "lang", "size"], kind="stable", na_position="last")
-    labels = np.array([names.index(x) for x in got["lang"]], dtype=np.int64)
-    vectors = [(np.asarray(a), SCALE * np.asarray(n) / np.sum(n) * idf[np.asarray(a)]) for a, n in zip(got["at"], got["n"])]
+    got = [r for r in picked.mapInPandas(features, "doc string, lang string, at binary, n binary").collect() if r["at"]]
+    got.sort(key=lambda r: (r["doc"] is None, r["doc"] or "", r["lang"], r["at"], r["n"]))
+    labels = np.array([names.index(r["lang"]) for r in got], dtype=np.int64)
+    vectors = []
+    for r in got:
+        at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.int32)
+        vectors.append((at, (SCALE * n / n.sum() * idf[at]).astype(np.float32)))
     spare = np.arange(len(vectors)) % 5 == 4
     weights, bias = train_ftrl([v for v, s in zip(vectors, spare) if not s], labels[~spare], len(names))
     scores = np.array([x @ weights[a] + bias for (a, x), s in zip(vectors, spare) if s]).reshape(-1, len(names))
