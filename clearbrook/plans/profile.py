@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import DATE_FORMATS, VALUE_PATTERNS, is_missing, matches
@@ -19,22 +19,35 @@ PATTERN_SHARE, DATE_SHARE = 0.5, 0.7
 SAMPLES = 5
 
 
-def first_values(df: DataFrame, rows: int = PATTERN_ROWS) -> DataFrame:
-    """(column, value): up to ``rows`` non-missing values of every column, as text, in the order of the input."""
+def first_values(df: DataFrame, rows: int = PATTERN_ROWS, whole: set[str] | None = None) -> DataFrame:
+    """(column, value, place): up to ``rows`` non-missing values of every column, as text, in the order of the input.
+    Columns in ``whole`` have no missing value: the table's first rows serve them all at once."""
+    schema = df.schema
+
+    def text(c: str) -> Column:
+        return F.to_json(F.array(F.col(f"`{c}`"))) if M.kind_of(schema[c].dataType) == "nested" else F.col(f"`{c}`").cast("string")
+
     parts = []
+    full = [c for c in df.columns if whole and c in whole]
+    if full:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in full])
+        head = df.select(*[f"`{c}`" for c in full]).limit(rows).withColumn("_place", F.monotonically_increasing_id())
+        parts.append(head.select(F.explode(pairs).alias("p"), "_place").select("p.column", "p.value", F.col("_place").alias("place")))
     for c in df.columns:
-        t = df.schema[c].dataType
-        value = F.to_json(F.array(F.col(f"`{c}`"))) if M.kind_of(t) == "nested" else F.col(f"`{c}`").cast("string")
-        parts.append(df.filter(~is_missing(F.col(f"`{c}`"), t)).select(F.lit(c).alias("column"), value.alias("value")).limit(rows))
+        if c not in full:
+            some = df.filter(~is_missing(F.col(f"`{c}`"), schema[c].dataType)).select(F.lit(c).alias("column"), text(c).alias("value")).limit(rows)
+            parts.append(some.withColumn("place", F.monotonically_increasing_id()))
     return reduce(DataFrame.unionAll, parts)
 
 
-def detect_patterns(values: DataFrame) -> DataFrame:
+def detect_patterns(values: DataFrame, samples: bool = False) -> DataFrame:
     """One row per column of (column, value): n, a share for each value pattern, and date0, date1, ..., one for each date
-    format in its order of trial."""
+    format in its order of trial; with samples the first values too."""
     hits = [F.avg(matches(F.col("value"), p).cast("int")).alias(k) for k, p in VALUE_PATTERNS.items()]
     dates = [F.avg(fits_format(F.col("value"), java).cast("int")).alias(f"date{i}") for i, java in enumerate(DATE_FORMATS.values())]
-    return values.groupBy("column").agg(F.count("*").alias("n"), *hits, *dates)
+    # the values are few: at most PATTERN_ROWS of a column
+    first = [F.slice(F.sort_array(F.collect_list(F.struct("place", "value"))), 1, SAMPLES).alias("samples")] if samples else []
+    return values.groupBy("column").agg(F.count("*").alias("n"), *hits, *dates, *first)
 
 
 def _patterns(row: Any) -> dict[str, dict[str, Any]]:
@@ -61,11 +74,11 @@ def profile(df: DataFrame, approximate: bool = False, measured: tuple[int, dict]
         for r in sorted(M.value_counts(df, names).collect(), key=lambda r: r["rank"]):
             top.setdefault(r["column"], {})[r["value"]] = r["n"]
     patterns, samples = {}, {}
+    whole = {c for c in df.columns if not by[c]["nulls"]}
     for names in M.batches(df.columns):
-        values = first_values(df.select(*[f"`{c}`" for c in names]))
-        patterns |= {r["column"]: _patterns(r) for r in detect_patterns(values).collect()}
-        for r in first_values(df.select(*[f"`{c}`" for c in names]), SAMPLES).collect():
-            samples.setdefault(r["column"], []).append(r["value"])
+        values = first_values(df.select(*[f"`{c}`" for c in names]), whole=whole)
+        for r in detect_patterns(values, samples=True).collect():
+            patterns[r["column"]], samples[r["column"]] = _patterns(r), [x["value"] for x in r["samples"]]
     for c in df.columns:
         m = by[c]
         p = ColumnProfile(c, M.dtype_label(df.schema[c].dataType), kinds[c])

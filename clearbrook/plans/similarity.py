@@ -81,9 +81,10 @@ def similar_columns(df: DataFrame, distinct: dict[str, int], least: float = LEAS
     blocked: set[tuple[str, str]] = set()
     order = lambda a, b: (a, b) if place[a] < place[b] else (b, a)
     if len(small) > 1:
-        values = distinct_values(df, small)
+        values = distinct_values(df, small).cache()  # at most MOST_VALUES of a column
         blocked = {order(r["a"], r["b"]) for r in band_pairs(minhash(values)).collect()}
         jaccard = {order(r["a"], r["b"]): r["jaccard"] for r in value_similarity(values).collect()}
+        values.unpersist()
         empty = [c for c in small if not distinct[c]]
         jaccard |= {order(a, b): 1.0 for i, a in enumerate(empty) for b in empty[i + 1 :]}
     # two columns whose sizes differ by half again can't be alike enough for the bands to be trusted
