@@ -1,3 +1,3 @@
-from .transforms import get_transformer, register_transformer, run_transformer, transform
+from .transforms import get_transformer, narrow, register_transformer, run_transformer, transform
 
-__all__ = ["get_transformer", "register_transformer", "run_transformer", "transform"]
+__all__ = ["get_transformer", "narrow", "register_transformer", "run_transformer", "transform"]

@@ -298,5 +298,20 @@ def categories(df: DataFrame, columns: list[str] | None = None, mapping: dict[st
     return Step(df.withColumns({c: make(c) for c in found}), _total(flags), list(columns or []), "\n".join(code))
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Integers in the smallest type that holds the column, doubles as floats.  For storing a table: a float keeps some
+    seven digits, so nothing is analysed in this form."""
+    whole = [f.name for f in df.schema if isinstance(f.dataType, (T.ShortType, T.IntegerType, T.LongType))]
+    row = df.agg(*[x(_col(c)).alias(f"{k}{i}") for i, c in enumerate(whole) for k, x in (("a", F.min), ("b", F.max))]).first() if whole else {}
+    kinds = [("tinyint", 7), ("smallint", 15), ("int", 31)]
+    made = {f.name: _col(f.name).cast("float") for f in df.schema if isinstance(f.dataType, T.DoubleType)}
+    for i, c in enumerate(whole):
+        lo, hi = row[f"a{i}"], row[f"b{i}"]
+        fits = [k for k, bits in kinds if lo is not None and -(2**bits) <= lo and hi < 2**bits]
+        if fits:
+            made[c] = _col(c).cast(fits[0])
+    return df.withColumns(made) if made else df
+
+
 for _name, _transformer in (("missing", missing), ("duplicates", duplicates), ("columns", columns), ("types", types), ("formats", formats), ("categories", categories)):
     register_transformer(_name, _transformer)

@@ -7,6 +7,8 @@ equality; what comes to the driver has a row for each candidate pair.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,11 @@ def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null").distinct()
 
 
-def minhash(values: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """(column, signature): the least hash of a column's values under each of ``hashes`` seeds."""
-    return values.groupBy("column").agg(F.array(*[F.min(F.xxhash64("value", F.lit(i))) for i in range(hashes)]).alias("signature"))
+def minhash(values: DataFrame, hashes: int = HASHES, hashed: Callable[[Column, int], Column] | None = None) -> DataFrame:
+    """(column, signature): the least hash of a column's values under each of ``hashes`` seeds.  hashed: another hash of
+    a value and a seed."""
+    hashed = hashed or (lambda v, seed: F.xxhash64(v, F.lit(seed)))
+    return values.groupBy("column").agg(F.array(*[F.min(hashed(F.col("value"), i)) for i in range(hashes)]).alias("signature"))
 
 
 def band_pairs(signatures: DataFrame, bands: int = BANDS) -> DataFrame:

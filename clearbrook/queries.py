@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from .functions import DATE_FORMATS, VALUE_PATTERNS, is_lower, is_title, is_upper
 from .models import Config, DetectorConfig, Finding, Severity
-from .operators import transform
+from .operators import narrow, transform
 from .plans import metrics as M
 from .plans.detectors import Context, run_detectors
 from .plans.profile import detect_patterns, profile
 from .plans.report import examine, quality_score
 from .plans.sampling import stratified
-from .plans.similarity import distinct_values, name_similarity, value_similarity
+from .plans.similarity import band_pairs, distinct_values, minhash, name_similarity, value_similarity
 from .plans.suggestions import priority_score, suggest
 from .sources import load, save
 
@@ -239,6 +239,33 @@ def column_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return value_similarity(values).withColumn("jaccard", F.round("jaccard", 6))
 
 
+_SETS = ("p_brand", "p_type", "CASE WHEN p_size < 48 THEN p_brand ELSE p_type END AS brand2")
+_SETS_SQL = "WITH v AS (SELECT DISTINCT 'p_brand' AS c, p_brand AS x FROM part UNION ALL SELECT DISTINCT 'p_type', p_type FROM part UNION ALL SELECT DISTINCT 'brand2', CASE WHEN p_size < 48 THEN p_brand ELSE p_type END FROM part), s AS (SELECT c, i, min(md5(i || ':' || x)) AS h FROM v, range(20) AS r(i) GROUP BY c, i)"
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    values = distinct_values(_table(spark, d, "part", *_SETS), ["p_brand", "p_type", "brand2"])
+    return minhash(values, 20, lambda v, seed: F.md5(F.concat(F.lit(f"{seed}:"), v)))
+
+
+@query(f"{_SETS_SQL} SELECT c AS name, i, h FROM s")
+def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
+    """The operator with a hash that both engines have."""
+    return _signatures(spark, d).select(F.col("column").alias("name"), F.posexplode("signature").alias("i", "h")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"{_SETS_SQL}, k AS (SELECT c, i // 2 AS band, string_agg(h, '' ORDER BY i) AS h FROM s GROUP BY c, i // 2) SELECT DISTINCT l.c AS a, r.c AS b FROM k l JOIN k r ON l.band = r.band AND l.h = r.h AND l.c < r.c")
+def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return band_pairs(_signatures(spark, d), bands=10)
+
+
+@query("SELECT typeof(1::TINYINT) = 'TINYINT' AS narrowed, count(*) AS n, sum(p_size) AS sizes FROM part")
+def narrow_types(spark: SparkSession, d: str) -> DataFrame:
+    """Whether sizes fit one byte, and that nothing is lost."""
+    out = narrow(_table(spark, d, "part", "p_size"))
+    return out.agg(F.lit(out.schema["p_size"].dataType.simpleString() == "tinyint").alias("narrowed"), F.count("*").alias("n"), F.sum("p_size").alias("sizes"))
+
+
 @query("SELECT l.n_name AS a, r.n_name AS b, round(CASE WHEN abs(length(l.n_name) - length(r.n_name)) / greatest(length(l.n_name), length(r.n_name)) > 0.3 THEN 0 ELSE 1 - levenshtein(l.n_name, r.n_name) / greatest(length(l.n_name), length(r.n_name)) END, 6) AS similarity FROM nation l JOIN nation r ON l.n_regionkey = r.n_regionkey AND l.n_name < r.n_name")
 def name_similarities(spark: SparkSession, d: str) -> DataFrame:
     n = _table(spark, d, "nation", "n_name", "n_regionkey")
