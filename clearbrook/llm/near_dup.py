@@ -7,9 +7,9 @@ The share of equal registers, less chance collisions, estimates their similarity
 confirmed on the exact sets.
 
 Documents of equal sets are first taken together as one class.  A key's classes are compared each with each if they are
-few (SMALL); where there are more, each is compared with the smallest, and then, as long as a key's classes are in
-several components, with further ones round by round, until every two of them have been compared or are in one
-component.  No cap: links are lost only where two documents of at least the threshold share no key at all, whose chance
+few (SMALL).  Where there are more, one task takes the key's registers and sets and compares every two that aren't
+connected yet.  Where they are too many for a task, the comparison goes by rounds of joins: each component of a key has
+some of its classes compared with the key's others, until every two have been compared or are in one component.  No cap: links are lost only where two documents of at least the threshold share no key at all, whose chance
 is (1 - 0.8^5)^32, some 3 in a million.
 
 Nulls and odd rows: a null, empty or wordless text has no shingle and is linked with nothing; texts with fewer words than
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import code_points, columns_of, forget, mix, span_hashes, word_spans, written
+from .common import code_points, columns_of, forget, mix, span_hashes, swept, word_spans, written
 from .components import components
 
 REGISTERS = 160
@@ -36,10 +36,12 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: Chance that two different minima get the same register: sum of 4^-z over the leading zeros, over 2^MANTISSA.
 COLLISION = 1 / (3 * 2**MANTISSA)
-#: Estimates below the threshold by this much, some six standard deviations, are not confirmed.
-MARGIN = 0.2
+#: Estimates below the threshold by this much, almost five standard deviations, are not confirmed.
+MARGIN = 0.15
 #: Classes of one key that are compared each with each.
 SMALL = 32
+#: Classes, and shingles of theirs, that one task compares; keys of more are gone through in rounds.
+MOST, MOST_SHINGLES = 4_096, 8_000_000
 #: Code points that one numpy pass holds, unless a single text is longer.
 PASS = 1_000_000
 
@@ -152,6 +154,32 @@ def _confirm(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return exact.withColumn("both", both).filter((F.col("both") * 100) >= (F.col("a_n") + F.col("b_n") - F.col("both")) * percent).select("a", "b")
 
 
+def _linker(percent: int):  # noqa: ANN202
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        """Confirmed links that connect what is connected among one key's classes: a pair is compared unless it is
+        connected already, the likeliest first."""
+        rows = rows.sort_values("cid")
+        cid, n = rows["cid"].to_numpy(), rows["n"].to_numpy()
+        regs, sets = np.stack(rows["registers"].to_list()), rows["shingles"].to_list()
+        root = np.arange(len(cid))
+        out = []
+        for i in range(len(cid) - 1):
+            equal = (regs[i + 1 :] == regs[i]).sum(axis=1)
+            sure = (equal / REGISTERS - COLLISION) / (1 - COLLISION) >= percent / 100 - MARGIN
+            sure &= (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent) & (root[i + 1 :] != root[i])
+            near = np.flatnonzero(sure) + i + 1
+            for j in near[np.argsort(-equal[near - i - 1], kind="stable")]:
+                if root[i] == root[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both * 100 >= (n[i] + n[j] - both) * percent:
+                    out.append((cid[i], cid[j]))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return link
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """One row per document: rid (a row number), doc_id, text_key (xxhash64 of the text), n, component_id (the component's
     smallest doc_id), component (its smallest row number of a class) and first (true for one row of each component).
@@ -162,27 +190,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     signed = rows.mapInPandas(_signer(width), SIGNATURE).withColumn("rid", F.monotonically_increasing_id())
     signed = written(signed, "signatures")
 
+    narrow = swept(signed.select("rid", "doc_id", "text_key", "n", "fp1", "fp2"), "narrow")
+
     # classes of equal sets
     alike = ["fp1", "fp2", "n"]
-    classes = written(signed.filter("n > 0").groupBy(*alike).agg(F.min("rid").alias("cid")), "classes")
-    reps = signed.select(F.col("rid").alias("cid"), "n", "registers", "bands", "shingles").join(classes.select("cid"), "cid", "left_semi")
+    classes = written(narrow.filter("n > 0").groupBy(*alike).agg(F.min("rid").alias("cid")), "classes")
 
-    # candidates
-    keys = reps.select("cid", F.explode("bands").alias("key"))
+    # candidates: the keys that classes share
+    keys = signed.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi").select("cid", "n", F.explode("bands").alias("key"))
     whole, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("cid")
-    keys = keys.withColumn("k", F.count("*").over(whole)).filter("k > 1")
+    keys = keys.withColumns({"k": F.count("*").over(whole), "total": F.sum("n").over(whole)}).filter("k > 1")
     before = F.collect_list("cid").over(order.rowsBetween(1 - SMALL, -1))
     keys = keys.withColumns({"before": F.when(F.col("k") <= SMALL, before), "lead": F.first("cid").over(order)})
-    keys = written(keys, "keys")
-    pairs = keys.select(F.explode(F.coalesce("before", F.array("lead"))).alias("a"), F.col("cid").alias("b")).filter("a < b").distinct()
-    links = written(_confirm(pairs, reps, percent), "links")
+    keys = swept(keys, "keys")
+    reps = signed.select(F.col("rid").alias("cid"), "n", "registers", "shingles").join(keys.select("cid").distinct(), "cid", "left_semi")
+    reps = swept(reps, "sets")
+    forget(spark, signed)
+
+    pairs = keys.filter(F.col("k") <= SMALL).select(F.explode("before").alias("a"), F.col("cid").alias("b"))
+    few = _confirm(pairs.distinct(), reps, percent)
+    fits = (F.col("k") <= MOST) & (F.col("total") <= MOST_SHINGLES)
+    middle = keys.filter((F.col("k") > SMALL) & fits).select("key", "cid").join(reps, "cid")
+    links = few.unionByName(middle.groupBy("key").applyInPandas(_linker(percent), "a long, b long"))
+    links = swept(links.distinct(), "links")
     labels = components(links)
 
-    # keys of many classes: on until every two of one key have been compared or are connected
-    many = written(keys.filter("k > %d" % SMALL).select("key", "cid", (F.col("cid") == F.col("lead")).alias("done")), "many")
+    # keys of yet more classes: on until every two of one key have been compared or are connected
+    many = written(keys.filter((F.col("k") > SMALL) & ~fits).select("key", "cid", F.lit(False).alias("done")), "many")
     forget(spark, keys)
     turn = 1
-    while True:
+    while many.limit(1).count():
         now = many.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         several = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
         now = now.join(several, "key", "left_semi")
@@ -191,17 +228,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         leads = now.filter("lead").select("key", F.col("cid").alias("l"), F.col("label").alias("ll"))
         pairs = now.select("key", "cid", "label").join(leads, "key").filter("label <> ll").select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct()
         pairs = written(pairs, "pairs")
-        if not pairs.limit(1).count():
+        if not pairs.limit(1).count():  # of every two components of a key, one has been compared whole
             break
-        more = written(links.union(_confirm(pairs, reps, percent)), "links")
+        more = swept(links.union(_confirm(pairs, reps, percent)), "links")
         forget(spark, many)
-        links, many = more, now.select("key", "cid", (F.col("done") | F.col("lead")).alias("done"))
+        links, many = more, written(now.select("key", "cid", (F.col("done") | F.col("lead")).alias("done")), "many")
         labels = components(links)
         turn *= 2
 
     small = labels.select(F.col("node").alias("cid"), "label")
     classes = classes.join(small, "cid", "left").select(*alike, F.coalesce("label", "cid").alias("component"))
-    member = signed.select("rid", "doc_id", "text_key", *alike).join(classes, alike, "left").withColumn("component", F.coalesce("component", "rid"))
+    member = narrow.join(classes, alike, "left").withColumn("component", F.coalesce("component", "rid"))
     member = written(member.select("rid", "doc_id", "text_key", "n", "component"), "members")
     heads = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"))
     return member.join(heads, "component").select("rid", "doc_id", "text_key", "n", "component_id", "component", (F.col("rid") == F.col("head.rid")).alias("first"))
