@@ -1,7 +1,8 @@
 """Secret scan with false-positive removal by a random forest, with DataFrame functions only.
 
-A pattern finds candidates: private-key headers, values assigned to password names, and runs of 16 or more characters
-of key alphabets that hold both letters and digits.  Each gets numeric features - length, character transitions,
+A pattern finds candidates: private-key headers, values assigned to names that end in a password word, passwords of
+urls, and runs of 16 or more characters of key alphabets that hold both letters and digits, have a provider's prefix or
+are assigned to a secret's name.  Each gets numeric features - length, character transitions,
 alphabets, dictionary coverage, path signs, neighbouring words - and a random forest trained on labelled findings
 gives the probability that it is a secret.
 
@@ -24,9 +25,15 @@ from .common import columns_of
 
 # The parts of the candidate pattern.
 HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-ASSIGNED = r"(?i:\b(?:password|passwd|passphrase|pwd)\b[\"']?\s{0,2}[:=]\s{0,2}[\"']?[^\s\"',;<>]{8,})"
-RUN = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
-CANDIDATE = f"{HEADER}|{ASSIGNED}|{RUN}"
+NAME = "[A-Za-z0-9_.-]{0,40}(?:password|passwd|passphrase|pwd)\\b[\"']?\\s{0,2}[:=]\\s{0,2}[\"']?"
+ASSIGNED = f"(?i:(?<![A-Za-z0-9_.-]){NAME}[^\\s\"',;<>]{{8,}})"
+LOGIN = "(?<=:)(?<=://[^\\s/:@]{0,64}:)[^\\s/@\"'<>]{3,}+(?=@)"
+EDGE = "(?<![A-Za-z0-9+/_-])"
+BOTH = "(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])"
+ISSUED = "(?=gh[pousr]_[A-Za-z0-9]{30}|[sr]k_live_[A-Za-z0-9]{16}|npm_[A-Za-z0-9]{30}|A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9]))"
+SECRET_NAME = "(?<=(?i:secret|token|credential|(?:api|access|private|auth|encryption|signing)[_ -]?key)[A-Za-z0-9_-]{0,12}[\"']?\\s{0,2}[:=]\\s{0,2}[\"'`]?)"
+RUN = f"{EDGE}(?=[A-Za-z0-9+/_-]{{16}})(?:{BOTH}|{ISSUED}|{SECRET_NAME})[A-Za-z0-9+/_-]{{16,}}+={{0,2}}"
+CANDIDATE = f"{HEADER}|{ASSIGNED}|{LOGIN}|{RUN}"
 PROVIDER = "^(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-|xox[abprs]-|AIza[0-9A-Za-z_-]{30,}|[sr]k_live_|npm_|eyJ[A-Za-z0-9_-]{10,}|-----BEGIN)"
 SECRET_WORDS = "token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|passw(?:or)?d|passphrase|pwd|credential|\\bauth\\b|authoriz|bearer|client[_ -]?secret"
 BENIGN_WORDS = "commit|sha-?\\d*|md5|checksum|digest|hash|uuid|guid|revision|build|version|integrity|etag|fingerprint|isbn|order|invoice|trace|span|request"
@@ -55,7 +62,7 @@ NEAR = 48
 FINDINGS = "findings"
 FEATURES = [
     "length", "letter_digit", "case_change", "digits", "distinct", "hex", "uuid", "coverage", "separators", "in_path",
-    "has_slash", "secret_word", "benign_word", "sample_word", "assigned", "quoted", "provider", "vowels", "upper",
+    "has_slash", "secret_word", "benign_word", "sample_word", "assigned", "quoted", "provider", "vowels", "upper", "login",
 ]
 
 
@@ -82,11 +89,11 @@ def located(docs: DataFrame) -> DataFrame:
 def features(found: Column) -> Column:
     """For each candidate an array of its numeric features in FEATURES' order."""
     known = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
-    name = "(?is)^(?:password|passwd|passphrase|pwd)[\"']?\\s{0,2}[:=]\\s{0,2}[\"']?"
+    name = f"(?is)^{NAME}"
 
     def prepared(x: Column) -> Column:
         near = F.lower(F.concat(x["before"], F.lit(" "), x["after"]))
-        return F.struct(F.regexp_replace(x["value"], name, "").alias("k"), x["value"].rlike(name).alias("named"), near.alias("near"), x["before"].alias("before"))
+        return F.struct(F.regexp_replace(x["value"], name, "").alias("k"), x["value"].rlike(name).alias("named"), near.alias("near"), x["before"].alias("before"), x["after"].alias("after"))
 
     def numbers(x: Column) -> Column:
         k, before, near, named = x["k"], x["before"], x["near"], x["named"]
@@ -112,6 +119,7 @@ def features(found: Column) -> Column:
             "provider": k.rlike(PROVIDER),
             "vowels": share("(?i)[aeiou]"),
             "upper": share("[A-Z]"),
+            "login": before.rlike("(?:://|^)[^\\s/:@]*:$") & x["after"].startswith("@"),
         }
         return F.array(*[F.coalesce(made[f].cast("double"), F.lit(0.0)) for f in FEATURES])
 
@@ -127,7 +135,7 @@ def labelled_findings(spark: SparkSession, n: int = 2_400) -> DataFrame:
     base = F.regexp_replace(F.base64(F.unhex(sha2)), "[+/=]", "x")
     pick = lambda names, salt: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(names))) + 1).cast("int"))
     w = lambda salt: pick(WORDS, salt)
-    form = F.pmod(i, F.lit(24))
+    form = F.pmod(i, F.lit(28))
     uuid = F.concat_ws("-", F.substring(md5, 1, 8), F.substring(md5, 9, 4), F.substring(md5, 13, 4), F.substring(md5, 17, 4), F.substring(md5, 21, 12))
     slug = F.concat(w("s1"), F.lit("-"), w("s2"), F.lit("-"), w("s3"), F.lit("-"), F.substring(md5, 1, 1), (F.pmod(i, F.lit(900)) + 100).cast("string"))
     path = F.concat(w("p1"), F.lit("/"), w("p2"), F.lit("/"), w("p3"), F.lit("/v"), F.pmod(i, F.lit(90)).cast("string"))
@@ -136,21 +144,26 @@ def labelled_findings(spark: SparkSession, n: int = 2_400) -> DataFrame:
     ghp = F.concat(F.lit("ghp_"), F.substring(base, 1, 36))
     word = F.concat(F.initcap(w("w1")), F.substring(md5, 1, 3), F.lit("!"), w("w2"), F.pmod(i, F.lit(97)).cast("string"))
     fake = F.concat(pick(["your_api_key_here_", "example-token-", "dummy_secret_value_", "xxxxxxxxxxxxxxxx", "abcdef0123456789", "placeholder_key_"], "ph"), F.pmod(i, F.lit(90)).cast("string"))
-    # forms 0 to 11 are secrets
-    values = [sha1, md5, F.substring(base, 1, 32), akia, ghp, base, F.concat(F.lit("sk_live_"), F.substring(base, 1, 24)), F.upper(sha1), sha2, word, pick(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"], "h"), F.when(F.pmod(F.floor(i / 24), F.lit(2)) == 0, akia).otherwise(ghp), sha1, md5, uuid, slug, path, camel, fake, sha2, F.concat(w("v1"), F.lit("_"), camel), F.concat(path, F.lit("-"), md5), F.upper(md5), F.substring(sha2, 1, 24)]
+    letters = F.translate(base, "0123456789", "QwErTyUiOp")
+    stand_in = pick(["password", "pass", "changeme", "secret", "xxxxxx", "your_password", "example", "PASSWORD"], "st")
+    plain_name = F.when(F.pmod(i, F.lit(3)) == 0, F.concat_ws("_", w("n1"), w("n2"), w("n3"), w("n4"))).otherwise(F.concat(w("n1"), F.initcap(w("n2")), F.initcap(w("n3")), F.initcap(w("n4"))))
+    # forms 0 to 11, 24 and 25 are secrets
+    values = [sha1, md5, F.substring(base, 1, 32), akia, ghp, base, F.concat(F.lit("sk_live_"), F.substring(base, 1, 24)), F.upper(sha1), sha2, word, pick(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"], "h"), F.when(F.pmod(F.floor(i / 28), F.lit(2)) == 0, akia).otherwise(ghp), sha1, md5, uuid, slug, path, camel, fake, sha2, F.concat(w("v1"), F.lit("_"), camel), F.concat(path, F.lit("-"), md5), F.upper(md5), F.substring(sha2, 1, 24), F.substring(letters, 1, F.pmod(i, F.lit(20)) + 20), F.when(F.pmod(F.floor(i / 28), F.lit(2)) == 0, word).otherwise(F.substring(base, 1, 14)), plain_name, stand_in]
     value = F.element_at(F.array(*values), (form + 1).cast("int"))
-    open_ = ["token = \"{}\"", "api_key: {}", "export SECRET_KEY={}", "Authorization: Bearer {}", "client_secret = '{}'", "access_key = {}", "TOKEN = \"{}\"", "auth token {}", "set credential {}", "x-api-key: \"{}\"", "secret {}"]
+    open_ = ["token = \"{}\"", "api_key: {}", "export SECRET_KEY={}", "Authorization: Bearer {}", "client_secret = '{}'", "access_key = {}", "TOKEN = \"{}\"", "auth token {}", "set credential {}", "x-api-key: \"{}\"", "secret {}", "AWS_ACCESS_KEY_ID={}", "aws_secret_access_key={}", "https://host.invalid/x?token={}"]
+    given = ["token = \"{}\"", "api_key: {}", "export SECRET_KEY={}", "client_secret = '{}'", "access_key = {}", "TOKEN={}", "https://host.invalid/x?token={}"]
+    login = ["postgres://{w}:{}@db.invalid/{w}", "https://{w}:{}@host.invalid/", "redis://:{}@host.invalid:6379", "amqp://{w}:{}@queue.invalid"]
     named = ["commit {}", "sha256: {}", "md5sum {}", "request {}", "uuid={}", "checksum = {}", "revision \"{}\"", "etag: \"{}\"", "build {}", "digest {}", "trace {}"]
-    plain = ["see https://host.invalid/{}", "in {} we", "file /srv/{}", "the {} of", "class {}", "id \"{}\"", "name = {}", "href=\"/{}\""]
+    plain = ["see https://host.invalid/{}", "in {} we", "file /srv/{}", "the {} of", "class {}", "id \"{}\"", "name = {}", "href=\"/{}\"", "https://host.invalid/x?id={}", "page={}"]
     place = (
-        F.when(form <= 8, pick(open_, "a")).when(form == 9, pick(["password: {}", "password = \"{}\"", "pwd={}", "PASSWORD: '{}'"], "pw")).when(form <= 11, pick([*plain, "", "{}"], "b"))
-        .when(form.isin(12, 13, 19, 22, 23), pick(named, "c")).when(form == 14, pick(named + plain, "d")).when(form == 18, pick(open_, "e")).otherwise(pick(plain, "f"))
+        F.when(form <= 8, pick(open_, "a")).when(form == 9, pick(["password: {}", "password = \"{}\"", "pwd={}", "PASSWORD: '{}'", "DB_PASSWORD={}", "db_password: '{}'", "mysqlPassword = \"{}\""], "pw")).when(form <= 11, pick([*plain, "", "{}"], "b"))
+        .when(form.isin(12, 13, 19, 22, 23), pick(named, "c")).when(form == 14, pick(named + plain, "d")).when(form == 18, pick(open_, "e")).when(form.isin(24, 26), pick(given, "g")).when(form.isin(25, 27), F.replace(pick(login, "l"), F.lit("{w}"), w("l2"))).otherwise(pick(plain, "f"))
     )
     place = F.when(place == "", "{}").otherwise(place)
     text = F.concat_ws(" ", w("t1"), w("t2"), w("t3"), F.replace(place, F.lit("{}"), value), w("t4"), w("t5"))
     # signs run into some words, and some findings stand alone
     text = F.when(F.pmod(F.xxhash64(i, F.lit("sign")), F.lit(4)) == 0, F.concat(text, F.lit("!!"))).when(F.pmod(F.xxhash64(i, F.lit("sign")), F.lit(4)) == 1, F.replace(place, F.lit("{}"), value)).otherwise(text)
-    return spark.range(n).select(text.alias("text"), (form <= 11).cast("double").alias("label"))
+    return spark.range(n).select(text.alias("text"), ((form <= 11) | form.isin(24, 25)).cast("double").alias("label"))
 
 
 #: A tree: (feature, threshold, left, right), or the probability at a leaf.
