@@ -2,9 +2,9 @@
 
 A mask such as 1101101 hashes the words under its ones and ignores those under its zeros, so a substituted word does
 not hide a match.  All masks are slid over the benchmark's items and over every document; equal hashes give a diagonal
-(document position minus item position), and along it the words are compared: +1 for an equal word, -4 for another.
-A document leaks an item if the best stretch has MIN_WORDS words or more (a positive sum means that over 0.8 of them
-are equal), or if the whole item lies there with a similarity of SIMILARITY or more.
+(document position minus item position), and along it the words are compared.  A document leaks an item if the longest
+stretch from an equal word to an equal word with a share of SIMILARITY or more of equal ones has MIN_WORDS words or
+more, or if the whole item lies there with a similarity of SIMILARITY or more.
 
 Words are lower-cased runs without white space, reduced to their letters and digits; what has none is no word.
 
@@ -30,6 +30,8 @@ from .common import code_points, columns_of, mix, span_hashes, word_spans
 MASKS = ("11111", "1101101", "10110011", "1110010001")
 MIN_WORDS = 13
 SIMILARITY = 0.8
+#: What an equal word and another add to a sum that is 0 or more where the share is SIMILARITY or more.
+EQUAL, OTHER = 1, -4
 #: Benchmark words that go to the executors at once.
 BLOCK_WORDS = 250_000
 #: Code points of whole texts that one numpy pass holds, unless a single text is longer.
@@ -70,6 +72,19 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def longest_stretch(same: np.ndarray) -> tuple[int, int]:
+    """(begin, end) of the longest stretch, the first of equals, that begins and ends with True and holds a share of SIMILARITY or more."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    sums = np.concatenate([[0], np.cumsum(np.where(same, EQUAL, OTHER))])
+    # the greatest sum at an end from each one on never rises: the last end that reaches a begin's sum is found by bisection
+    most = np.maximum.accumulate(sums[at + 1][::-1])[::-1]
+    last = at[np.searchsorted(-most, -sums[at], "right") - 1] + 1
+    k = int(np.argmax(last - at))
+    return int(at[k]), int(last[k])
+
+
 class Benchmark:
     """A block of items: their words, and the sorted seeds of every mask with where each stands."""
 
@@ -94,7 +109,7 @@ class Benchmark:
             self.seeds.append((key[order], np.concatenate([np.zeros(0, int), *items])[order], np.concatenate([np.zeros(0, int), *places])[order], seen))
 
     def hits(self, texts: list[str]) -> list[list[dict]]:
-        """For each text, its leaked items with the best stretch of each."""
+        """For each text, its leaked items with the stretch of most equal words of each."""
         words, offsets = word_hashes(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         found = []
@@ -117,10 +132,7 @@ class Benchmark:
             lo, hi = max(start, offsets[text]), min(start + b - a, offsets[text + 1])
             same = words[lo:hi] == self.words[a + lo - start : a + hi - start]
             n, low = len(same), int(lo - offsets[text])
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-            rise = sums - np.minimum.accumulate(sums)
-            end = int(np.argmax(rise))
-            begin = int(np.argmin(sums[: end + 1]))
+            begin, end = longest_stretch(same)
             if b - a < 5:
                 ok, begin, end = n == b - a and bool(same.all()), 0, n
             else:

@@ -359,6 +359,25 @@ def test_leaks_are_found_despite_substitutions(spark):
         assert (got[0, 0]["start_word"], got[0, 0]["n_words"]) == (40, 30) and got[2, 2]["n_equal"] >= 36
 
 
+def test_the_longest_stretch_is_judged(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(int(rng.integers(0, 40))) < rng.choice([0.5, 0.8, 0.95])
+        fits = [(j - i, -i) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1] and 5 * same[i:j].sum() >= 4 * (j - i)]
+        n, i = max(fits, default=(0, 0))
+        assert decontaminate.longest_stretch(same) == (-i, n - i)
+    item = [f"w{i}" for i in range(60)]
+    leads = []
+    for lead, parts in ((12, 3), (10, 4)):
+        copy = item[: lead + 5 * parts]
+        for k in range(parts):
+            copy[lead + 5 * k] = "zzz"
+        leads.append((lead, " ".join(["a", "b", *copy, "c", "d"])))
+    leads.append((1, " ".join(["a", *item[:12], "c", "d", "e", "f"])))
+    got = decontaminate.find_leaks(spark.createDataFrame(leads, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: [(x["start_word"], x["n_words"], x["n_equal"]) for x in r["leaks"]] for r in got} == {12: [(2, 27, 24)], 10: [(2, 30, 26)], 1: []}
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(0, "the cat sat on the mat")], "item_id long, text string")
     got = decontaminate.find_leaks(odd, bench).collect()
