@@ -126,6 +126,11 @@ def test_quality_of_held_out_documents(spark, documents):
     assert quality.op10_quality(spark, SF).count() == documents.count()
 
 
+def test_quality_features_and_sample():
+    # the word, 4 trigrams and 3 runs of four characters of "<abcd>"; no word pair
+    assert quality.features(["abcd"])[1][-1] == 8 and quality.SAMPLE == 4_000
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (9, 1)], "doc_id long, quality int")
     got = quality.score_quality(odd, quality.fit(odd, labels), out="_q").collect()
