@@ -61,8 +61,17 @@ class Sampler:
         df, order = self.df, row_order(self.df)
         gaps = any_missing(df.schema, df.columns)
         some = df.filter(gaps).orderBy(*order).limit(int(self.size * MISSING_SHARE))
-        held = some.count()
-        rest = df.filter(~gaps) if held else df
+        held, rest = some.count(), df
+        if held:
+            # all rows but those taken, which come before the last one's key; of rows alike at that key as many are left as weren't taken
+            one, two = order
+            last = some.select(one.alias("a"), two.alias("b")).orderBy(F.desc("a"), F.desc("b")).first()
+            at_last = (one == last["a"]) & (two == last["b"])
+            taken = some.filter(at_last).count()
+            alike = df.filter(gaps & at_last)
+            left = alike.count() - taken
+            rest = df.filter(~gaps | (one > last["a"]) | ((one == last["a"]) & (two > last["b"])))
+            rest = rest.unionByName(alike.limit(left)) if left else rest
         column = stratum_column(rest)
         n = self.size - held
         return some.unionByName(stratified(rest, column, n) if column else rest.orderBy(*order).limit(n))

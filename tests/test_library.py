@@ -188,6 +188,15 @@ def test_sampler(spark):
     assert not Sampler(df, threshold=5000).sampled and s.extrapolate_count(3) == int(3 * 3000 / len(rows))
 
 
+def test_sampler_keeps_the_share_of_gaps(spark):
+    mostly = spark.range(3000).selectExpr("id", "id % 3 as g", "case when id % 10 < 6 then null else id end as v")
+    rows = Sampler(mostly, size=300, threshold=3000).sample.collect()
+    assert 290 <= len(rows) <= 302 and len({r["id"] for r in rows}) == len(rows)
+    assert 0.5 <= sum(r["v"] is None for r in rows) / len(rows) <= 0.75
+    every = spark.range(3000).selectExpr("id % 7 as g", "cast(null as string) as v")
+    assert 290 <= Sampler(every, size=300, threshold=3000).sample.count() <= 302
+
+
 def test_cached_measurements(spark):
     m = Measurements(spark.createDataFrame([(1, "a"), (2, "b"), (None, "a")], "n int, s string"))
     assert m.unique_count("n") == 2 and m.statistics("n")["mean"] == 1.5 and m.value_set("s") == {"a", "b"} and m.all is m.all
