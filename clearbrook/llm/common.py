@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but the space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Code points that one numpy pass holds at most (a longer text is cut at white space).
+#: Code points that one numpy pass holds, unless a run without white space is longer.
 PIECE = 1_000_000
 
+#: The engine's setting by which a finished query's shuffle files are deleted.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: By session, the folder in the shared one that holds its tables.
+_folders: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a single machine one of our own where it
+    is unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="clearbrook-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -29,28 +37,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends there, and a lost executor
-    costs no recomputation of what came before."""
+    """The same rows, read back from a table in the session's folder: lineage ends there, and a lost executor
+    costs no recomputation of what came before.  The shuffle files that led there are deleted.  forget() deletes one table,
+    release() all of them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/clearbrook-{uuid.uuid4().hex}"
+        atexit.register(release, spark)
+    path = f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def swept(df: DataFrame, name: str) -> DataFrame:
-    """written(), after which the shuffle files that led there can go."""
-    out = written(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
+def forget(df: DataFrame) -> None:
     """Deletes a table of written() that no later plan reads."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of the session, which the results of operators may read until then; runs by itself when the
+    program ends with its session still open."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        _delete(spark, folder)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_ascii(c: Column) -> Column:
@@ -73,11 +108,12 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
 # --- texts as arrays ---------------------------------------------------------------------------------------------
 
 
-def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Groups of at most ``limit`` code points: the index of each part's text, and the parts.  A longer text
-    is cut behind a white-space character where there is one; nothing of it is left out."""
+def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[tuple[np.ndarray, list[str], list[bool]]]:
+    """Groups of about ``limit`` code points: the index of each part's text, the parts, and whether each goes on where
+    the part before it ended.  A longer text is cut behind white space only, so no word is ever cut."""
     index: list[int] = []
     parts: list[str] = []
+    more: list[bool] = []
     held = 0
     for i, t in enumerate(texts):
         t = t or ""
@@ -86,18 +122,19 @@ def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[tuple[np.nda
             end = min(len(t), at + limit)
             if end < len(t):
                 cut = max(t.rfind(x, at, end) for x in " \n\t\r")
-                end = cut + 1 if cut > at else end
+                end = cut + 1 if cut >= at else min((k + 1 for x in " \n\t\r" if (k := t.find(x, end)) >= 0), default=len(t))
             if held and held + end - at > limit:
-                yield np.array(index), parts
-                index, parts, held = [], [], 0
+                yield np.array(index), parts, more
+                index, parts, more, held = [], [], [], 0
             index.append(i)
             parts.append(t[at:end])
+            more.append(at > 0)
             held += end - at
             at = end
             if not t:
                 break
     if parts:
-        yield np.array(index), parts
+        yield np.array(index), parts, more
 
 
 def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,17 +186,3 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def sparse_counts(texts: list[str | None], features: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the buckets below ``buckets`` that it has features in, in order, and how many in each."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for index, parts in pieces(texts):
-        found, offsets = features(parts)
-        for i, a, b in zip(index, offsets[:-1], offsets[1:]):
-            n = np.bincount(found[a:b], minlength=buckets)[:buckets]
-            if i in held:  # a text in several pieces
-                n[held[i][0]] += held[i][1]
-            at = np.flatnonzero(n)
-            held[i] = at.astype(np.int32), n[at].astype(np.int32)
-    return [held[i] for i in range(len(texts))]

@@ -21,8 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         step = lower.join(labels.select(F.col("node").alias("n"), F.col("label").alias("jump")), F.col("low") == F.col("n"), "left")
         made = written(step.select("node", "old", F.least("low", "jump").alias("label")), "labels")
         changed = made.filter("label <> old").limit(1).count()
-        forget(labels.sparkSession, labels)
+        forget(labels)
         labels = made.select("node", "label")
         if not changed:
-            forget(labels.sparkSession, both)
+            forget(both)
             return labels

@@ -6,9 +6,10 @@ counted over all eligible documents.  Weights are trained by follow-the-regulari
 penalties (per-coordinate rates; L1 leaves most weights at zero) on a bounded sample of labelled documents, and a
 temperature fitted on a part of the sample that training doesn't see calibrates the probabilities.
 
-Nulls and odd rows: a null text, or one without a letter, gets "und" and a score of 0; rows with a null or empty
-language teach nothing but are predicted; without any labelled row everything is "und"; each of repeated rows is
-predicted alike; ties go to the language that is first in code-point order; other columns are ignored.
+Nulls and odd rows: a null text, or one without a letter, gets "und" and a score of 0; rows with a null language
+teach nothing but are predicted; without any labelled row everything is "und"; each of repeated rows is predicted alike;
+ties go to the language that is first in code-point order; other columns are left as they are, but lang_pred and score
+replace columns of their names.  A very long text is gone through in parts cut at white space, with the same result as in one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, columns_of, crc_mod, mix, pieces, sparse_counts
+from .common import code_points, columns_of, crc_mod, mix, pieces, unused
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -67,6 +68,19 @@ def ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.ravel(), np.concatenate([[0], np.cumsum(counts) * len(ORDERS)])
 
 
+def sparse_counts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the buckets that it has n-grams in, in order, and how many in each."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for index, parts, _ in pieces(texts):
+        grams, offsets = ngrams(parts)
+        new = np.repeat(index, np.diff(offsets)) * (BUCKETS + 1) + grams
+        got, n = np.unique(new[grams != BUCKETS], return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, got]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    at = np.searchsorted(keys, np.arange(len(texts) + 1) * (BUCKETS + 1))
+    return [((keys[a:b] % (BUCKETS + 1)).astype(np.int32), counts[a:b].astype(np.int32)) for a, b in zip(at[:-1], at[1:])]
+
+
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, bias) of k classes by FTRL-proximal; rows: indices and values of each document's features."""
     z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
@@ -123,7 +137,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         k = len(self.languages)
         sums, counts = np.zeros((len(texts), k)), np.zeros(len(texts))
-        for index, parts in pieces(texts):
+        for index, parts, _ in pieces(texts):
             grams, offsets = ngrams(parts)
             counted = np.concatenate([[0], np.cumsum(grams != BUCKETS)])[offsets]
             some = offsets[1:] > offsets[:-1]
@@ -143,26 +157,22 @@ class LanguageModel:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> LanguageModel:
     """Fits on columns doc_id, text and lang; all rows count for the document frequencies, a hashed sample of about
     min(per_language, sample / languages) documents of each language for the weights."""
-    rows = docs.filter("lang is not null and lang <> '' and text is not null")
+    rows = docs.filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     names = sorted(sizes)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(BUCKETS + 1, np.int64), 0
+        total = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            texts = batch["text"].tolist()
-            n += len(texts)
-            for _, parts in pieces(texts):
-                grams, offsets = ngrams(parts)
-                for a, b in zip(offsets[:-1], offsets[1:]):
-                    has = np.zeros(BUCKETS + 1, bool)
-                    has[grams[a:b]] = True
-                    total += has
-        total[BUCKETS] = n
-        yield pd.DataFrame({"bucket": np.arange(BUCKETS + 1), "n": total})
+            for at, _ in sparse_counts(batch["text"].tolist()):
+                total[at] += 1
+            total[BUCKETS] += len(batch)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": some, "n": total[some]})
 
+    # at most BUCKETS + 1 rows
     found = rows.select("text").mapInPandas(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1)
     df[found["bucket"]] = found["n"]
@@ -174,7 +184,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = sparse_counts(batch["text"].tolist(), ngrams, BUCKETS)
+            found = sparse_counts(batch["text"].tolist())
             yield pd.DataFrame({"doc": batch["doc"], "lang": batch["lang"], "at": [at.astype(np.uint16).tobytes() for at, _ in found], "n": [n.tobytes() for _, n in found]})
 
     picked = rows.filter(drawn < F.element_at(share, F.col("lang"))).select(F.col("doc_id").cast("string").alias("doc"), "lang", "text")
@@ -199,8 +209,9 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         langs, scores = model.predict(texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    out = docs.withColumn("_lang", predict(F.col("text")))
-    return out.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    (held,) = unused(docs, "_lang")
+    out = docs.withColumn(held, predict(F.col("text")))
+    return out.withColumns({"lang_pred": F.col(f"{held}.lang_pred"), "score": F.col(f"{held}.score")}).drop(held)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,18 @@ The share of equal registers, less chance collisions, estimates their similarity
 confirmed on the exact sets.
 
 Documents of equal sets are first taken together as one class.  A key's classes are compared each with each if they are
-few (SMALL).  Where there are more, one task takes the key's registers and sets and compares every two that aren't
-connected yet.  Where they are too many for a task, the comparison goes by rounds of joins: each component of a key has
-some of its classes compared with the key's others, until every two have been compared or are in one component.  No cap: links are lost only where two documents of at least the threshold share no key at all, whose chance
-is (1 - 0.8^5)^32, some 3 in a million.
+few (SMALL); where there are more, each is compared with the key's first one.  Of the large keys those whose classes
+aren't connected by then are gone through again: one task takes such a key's registers and sets and compares every two
+that aren't connected yet.  Where they are too many for a task, the comparison goes by rounds of joins: each component
+of a key has some of its classes compared with the key's others, until every two have been compared or are in one
+component.  Keys have no cap.  A link of the threshold's similarity is lost with a chance of (1 - 0.8^5)^32, some 3 in a
+million, because its documents share no key, and of less than one in a billion because the estimate lies MARGIN, six
+standard deviations, below the truth; sets are compared by 64-bit hashes of their shingles.
 
 Nulls and odd rows: a null, empty or wordless text has no shingle and is linked with nothing; texts with fewer words than
 a shingle have one of all their words; repeated rows are copies of each other; rows with a null doc_id take part, and
-count as the largest; an empty table gives an empty result.
+count as the largest; an empty table gives an empty result; a very long text has one set of all its shingles; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import code_points, columns_of, forget, mix, span_hashes, swept, word_spans, written
+from .common import code_points, columns_of, forget, mix, span_hashes, word_spans, written
 from .components import components
 
 REGISTERS = 160
@@ -36,8 +40,8 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: Chance that two different minima get the same register: sum of 4^-z over the leading zeros, over 2^MANTISSA.
 COLLISION = 1 / (3 * 2**MANTISSA)
-#: Estimates below the threshold by this much, almost five standard deviations, are not confirmed.
-MARGIN = 0.15
+#: Estimates below the threshold by this much, six standard deviations, are not confirmed.
+MARGIN = 0.2
 #: Classes of one key that are compared each with each.
 SMALL = 32
 #: Classes, and shingles of theirs, that one task compares; keys of more are gone through in rounds.
@@ -45,7 +49,8 @@ MOST, MOST_SHINGLES = 4_096, 8_000_000
 #: Code points that one numpy pass holds, unless a single text is longer.
 PASS = 1_000_000
 
-SIGNATURE = "doc_id long, text_key long, n long, fp1 long, fp2 long, registers array<short>, bands array<long>, shingles array<int>"
+SIGNATURE = "rid long, doc_id long, n long, fp1 long, fp2 long, registers array<short>, bands array<long>"
+SETS = "cid long, n long, shingles array<long>"
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -110,46 +115,67 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _passes(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begin and end of groups of texts of about PASS code points."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= PASS):
+            held += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def _signer(width: int):  # noqa: ANN202
+    wrap = lambda x: np.array(x, np.uint64).view(np.int64)
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end]) <= PASS):
-                    held += len(texts[end])
-                    end += 1
-                sets = shingle_sets(texts[at:end], width)
+            for a, b in _passes(texts):
+                sets = shingle_sets(texts[a:b], width)
                 regs = registers(sets)
-                keys = band_keys(regs)
-                some = batch.iloc[at:end]
-                wrap = lambda x: np.array(x, np.uint64).view(np.int64)
+                some = batch.iloc[a:b]
                 yield pd.DataFrame(
                     {
-                        "doc_id": some["doc_id"], "text_key": some["text_key"], "n": [len(s) for s in sets],
+                        "rid": some["rid"], "doc_id": some["doc_id"], "n": [len(s) for s in sets],
                         "fp1": wrap([s.sum(dtype=np.uint64) for s in sets]), "fp2": wrap([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets]),
-                        "registers": list(regs.view(np.int16)), "bands": list(keys), "shingles": [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets],
+                        "registers": list(regs.view(np.int16)), "bands": list(band_keys(regs)),
                     }
                 )
-                at = end
 
     return sign
 
 
+def _set_maker(width: int):  # noqa: ANN202
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            for a, b in _passes(texts):
+                sets = [s.view(np.int64) for s in shingle_sets(texts[a:b], width)]
+                yield pd.DataFrame({"cid": batch["rid"].iloc[a:b], "n": [len(s) for s in sets], "shingles": sets})
+
+    return make
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity of two arrays of registers, corrected for chance collisions."""
     equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
     return (equal / REGISTERS - COLLISION) / (1 - COLLISION)
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough; reps: cid, n, registers, shingles."""
-    side = lambda s, *cols: reps.select(F.col("cid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
-    rough = pairs.join(side("a", "n", "registers"), "a").filter("a_n > 0").join(side("b", "n", "registers"), "b")
-    rough = rough.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-    rough = rough.filter(estimate(F.col("a_registers"), F.col("b_registers")) >= percent / 100 - MARGIN)
-    exact = rough.select("a", "b", "a_n", "b_n").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and registers (reps: cid, n, registers) don't rule them out."""
+    side = lambda s: reps.select(F.col("cid").alias(s), F.col("n").alias(f"{s}_n"), F.col("registers").alias(f"{s}_registers"))
+    rough = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    return rough.filter(estimate(F.col("a_registers"), F.col("b_registers")) >= percent / 100 - MARGIN).select("a", "b")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets (cid, n, shingles) are similar enough."""
+    side = lambda s: sets.select(F.col("cid").alias(s), F.col("n").alias(f"{s}_n"), F.col("shingles").alias(f"{s}_shingles"))
+    exact = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return exact.withColumn("both", both).filter((F.col("both") * 100) >= (F.col("a_n") + F.col("b_n") - F.col("both")) * percent).select("a", "b")
 
@@ -161,7 +187,7 @@ def _linker(percent: int):  # noqa: ANN202
         rows = rows.sort_values("cid")
         cid, n = rows["cid"].to_numpy(), rows["n"].to_numpy()
         regs, sets = np.stack(rows["registers"].to_list()), rows["shingles"].to_list()
-        root = np.arange(len(cid))
+        root = rows["label"].to_numpy().copy()
         out = []
         for i in range(len(cid) - 1):
             equal = (regs[i + 1 :] == regs[i]).sum(axis=1)
@@ -171,6 +197,7 @@ def _linker(percent: int):  # noqa: ANN202
             for j in near[np.argsort(-equal[near - i - 1], kind="stable")]:
                 if root[i] == root[j]:
                     continue
+                # both sets are distinct hashes
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both * 100 >= (n[i] + n[j] - both) * percent:
                     out.append((cid[i], cid[j]))
@@ -180,49 +207,73 @@ def _linker(percent: int):  # noqa: ANN202
     return link
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, doc): every row under a number that lasts, written down."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("doc")), "rows")
+
+
+def _unconnected(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes of keys (key, cid, ...) with their labels, of those keys that have several."""
+    now = keys.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return now.join(several, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """One row per document: rid (a row number), doc_id, text_key (xxhash64 of the text), n, component_id (the component's
-    smallest doc_id), component (its smallest row number of a class) and first (true for one row of each component).
+    """One row per document: rid (a row number), doc_id, n, component_id (the component's smallest doc_id), component
+    (its smallest row number of a class) and first (true for one row of each component).
 
     Linked are documents whose sets of ``width``-word shingles have 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    rows = columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    signed = rows.mapInPandas(_signer(width), SIGNATURE).withColumn("rid", F.monotonically_increasing_id())
-    signed = written(signed, "signatures")
+    return duplicates_among(numbered(columns_of(docs, "doc_id", "text")), width, percent)
+
 
-    narrow = swept(signed.select("rid", "doc_id", "text_key", "n", "fp1", "fp2"), "narrow")
+def duplicates_among(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates() of rows that numbered() wrote; they stay."""
+    texts = rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
+    signed = written(texts.mapInPandas(_signer(width), SIGNATURE), "signatures")
 
-    # classes of equal sets
+    # classes of equal sets; head: the row that stands for a class's or component's rows
     alike = ["fp1", "fp2", "n"]
-    classes = written(narrow.filter("n > 0").groupBy(*alike).agg(F.min("rid").alias("cid")), "classes")
-
-    # candidates: the keys that classes share
-    keys = signed.select(F.col("rid").alias("cid"), "n", "bands").join(classes.select("cid"), "cid", "left_semi").select("cid", "n", F.explode("bands").alias("key"))
-    whole, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("cid")
-    keys = keys.withColumns({"k": F.count("*").over(whole), "total": F.sum("n").over(whole)}).filter("k > 1")
-    before = F.collect_list("cid").over(order.rowsBetween(1 - SMALL, -1))
-    keys = keys.withColumns({"before": F.when(F.col("k") <= SMALL, before), "lead": F.first("cid").over(order)})
-    keys = swept(keys, "keys")
-    reps = signed.select(F.col("rid").alias("cid"), "n", "registers", "shingles").join(keys.select("cid").distinct(), "cid", "left_semi")
-    reps = swept(reps, "sets")
-    forget(spark, signed)
-
-    pairs = keys.filter(F.col("k") <= SMALL).select(F.explode("before").alias("a"), F.col("cid").alias("b"))
-    few = _confirm(pairs.distinct(), reps, percent)
-    fits = (F.col("k") <= MOST) & (F.col("total") <= MOST_SHINGLES)
-    middle = keys.filter((F.col("k") > SMALL) & fits).select("key", "cid").join(reps, "cid")
-    links = few.unionByName(middle.groupBy("key").applyInPandas(_linker(percent), "a long, b long"))
-    links = swept(links.distinct(), "links")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    classes = written(signed.filter("n > 0").groupBy(*alike).agg(F.min("rid").alias("cid"), head.alias("head")), "classes")
+    reps = written(signed.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), "n", "registers", "bands"), "reps")
+
+    # candidates: the keys that classes share; k, total: how many classes, and shingles of theirs
+    keys = reps.select("cid", "n", F.explode("bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.min("cid").alias("lead")).filter("k > 1"), "shared")
+    keys = written(keys.join(shared, "key"), "keys")
+    forget(shared)
+    some = keys.filter(F.col("k") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("c"))
+    each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = some.select(F.explode(each).alias("p")).select("p.a", "p.b")
+    star = keys.filter((F.col("k") > SMALL) & (F.col("cid") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("cid").alias("b"))
+    likely = written(_likely(pairs.union(star).distinct(), reps, percent), "likely")
+
+    # the full sets of what may be linked, made again from the texts
+    large = keys.filter(F.col("k") > SMALL).select("cid")
+    wanted = likely.select(F.col("a").alias("cid")).union(likely.select("b")).union(large).distinct()
+    sets = texts.select("rid", "text").join(wanted.select(F.col("cid").alias("rid")), "rid", "left_semi").mapInPandas(_set_maker(width), SETS)
+    sets = written(sets, "sets")
+    links = written(_confirm(likely, sets, percent), "links")
+    forget(likely)
     labels = components(links)
 
+    # large keys whose classes aren't connected yet
+    fits = (F.col("k") <= MOST) & (F.col("total") <= MOST_SHINGLES)
+    left = written(_unconnected(keys.filter(F.col("k") > SMALL).select("key", "cid", fits.alias("fits")), labels), "left")
+    forget(keys)
+    middle = left.filter("fits").select("key", "cid", "label").join(sets, "cid").join(reps.select("cid", "registers"), "cid")
+    more = written(middle.groupBy("key").applyInPandas(_linker(percent), "a long, b long").distinct(), "links")
+    if more.limit(1).count():
+        links = written(links.union(more), "links")
+        labels = components(links)
+
     # keys of yet more classes: on until every two of one key have been compared or are connected
-    many = written(keys.filter((F.col("k") > SMALL) & ~fits).select("key", "cid", F.lit(False).alias("done")), "many")
-    forget(spark, keys)
+    many = written(left.filter("not fits").select("key", "cid", F.lit(False).alias("done")), "many")
     turn = 1
     while many.limit(1).count():
-        now = many.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        several = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        now = now.join(several, "key", "left_semi")
+        now = _unconnected(many, labels)
         turns = F.row_number().over(Window.partitionBy("key", "label", "done").orderBy("cid"))
         now = written(now.withColumn("lead", ~F.col("done") & (turns <= turn)), "many")
         leads = now.filter("lead").select("key", F.col("cid").alias("l"), F.col("label").alias("ll"))
@@ -230,18 +281,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         pairs = written(pairs, "pairs")
         if not pairs.limit(1).count():  # of every two components of a key, one has been compared whole
             break
-        more = swept(links.union(_confirm(pairs, reps, percent)), "links")
-        forget(spark, many)
+        more = written(links.union(_confirm(_likely(pairs, reps, percent), sets, percent)), "links")
+        forget(many)
+        forget(pairs)
         links, many = more, written(now.select("key", "cid", (F.col("done") | F.col("lead")).alias("done")), "many")
         labels = components(links)
         turn *= 2
-
-    small = labels.select(F.col("node").alias("cid"), "label")
-    classes = classes.join(small, "cid", "left").select(*alike, F.coalesce("label", "cid").alias("component"))
-    member = narrow.join(classes, alike, "left").withColumn("component", F.coalesce("component", "rid"))
-    member = written(member.select("rid", "doc_id", "text_key", "n", "component"), "members")
-    heads = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("head"))
-    return member.join(heads, "component").select("rid", "doc_id", "text_key", "n", "component_id", "component", (F.col("rid") == F.col("head.rid")).alias("first"))
+    for table in (reps, sets, left):
+        forget(table)
+
+    # both sides of these joins are tables, so that a component or a class of many rows can be split as a skewed one
+    placed = written(classes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select(*alike, "head", F.coalesce("label", "cid").alias("component")), "placed")
+    heads = written(placed.groupBy("component").agg(F.min("head").alias("head")), "heads")
+    placed = written(placed.drop("head").join(heads, "component"), "placed")
+    member = signed.filter("n > 0").select("rid", "doc_id", *alike).join(placed, alike)
+    member = member.select("rid", "doc_id", "n", F.col("head.doc_id").alias("component_id"), "component", (F.col("rid") == F.col("head.rid")).alias("first"))
+    alone = signed.filter("n = 0").select("rid", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("rid").alias("component"), F.lit(True).alias("first"))
+    return member.unionByName(alone)
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of the learned vectors of its hashed features: words, word pairs, and the character
-n-grams (3 and 4 characters) of words with their borders marked.  A softmax layer stands on top; vectors and layer are
+A document's features are of three families: words, word pairs, and the character n-grams (3 and 4 characters) of words
+with their borders marked.  Each family's learned, hashed vectors are averaged, and the document is the average of its
+families, so that the many n-grams don't drown the few words.  A softmax layer stands on top; vectors and layer are
 trained together by stochastic gradient descent in numpy on a bounded sample of labelled documents.  A word that
-repeats the one before it gives a pair feature that all such pairs share, so that repetition is learned as such.
+repeats the one before it has one feature of each family, which all such words share: repetition is learned as such.
 
 When scoring, each bucket's vector is first multiplied by the output layer: a document's logit is then the mean of
-its features' numbers, which equals the layer applied to the mean vector.
+its families' means, which equals the layer applied to the mean vector.
 
 Nulls and odd rows: a null text, or one without words, has only the bias for a score; labels other than 0 and 1 are
 ignored; a document with two labels is learned with both; without labelled rows every score is 0.5; each of repeated
-rows is scored alike; other columns are ignored.
+rows is scored alike; other columns are left as they are.  A very long text is gone through in parts cut at white space,
+with the same result as in one.
 """
 
 from __future__ import annotations
@@ -23,26 +25,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, columns_of, crc_mod, mix, pieces, span_hashes, sparse_counts, word_spans
+from .common import code_points, columns_of, crc_mod, mix, pieces, span_hashes, word_spans
 
 BUCKETS = 1 << 16
 DIM = 8
+FAMILIES = 3
 CHAR_ORDERS = (3, 4)
 #: Labelled documents that training takes, about.
 SAMPLE = 4_000
 THRESHOLD = 0.3
+#: The bucket of a word that repeats the one before it, in each family.
+REPEAT = np.uint64(0x5EED)
 
 
-def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of all texts in a row, and each text's offset in them (one more at the end)."""
+def features(parts: list[str], more: list[bool], last: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each family the buckets of all features and the part of each; and the last word's hash, if any.
+    more, last: see pieces(); the hash of the word before the first part, if the part goes on there."""
     codes, offsets = code_points(parts)
-    starts, ends, text = word_spans(codes, offsets)
+    starts, ends, part = word_spans(codes, offsets)
     shift = np.uint64(64 - 16)
     words = span_hashes(codes, starts, ends)
-    pairs = mix(words[1:] * np.uint64(3) + words[:-1])
-    pairs = np.where(words[1:] == words[:-1], np.uint64(0x5EED << 48), pairs)[text[1:] == text[:-1]]
-    found = [(words >> shift, text), (pairs >> shift, text[1:][text[1:] == text[:-1]])]
+    text = np.cumsum(~np.array(more, bool))
+    lead = last if more[0] else last[:0]
+    chain = np.concatenate([lead, words])
+    owner = np.concatenate([np.full(len(lead), text[0]), text[part]])
+    pairs = mix(chain[1:] * np.uint64(3) + chain[:-1])
+    joined = owner[1:] == owner[:-1]
+    again = joined & (chain[1:] == chain[:-1])
+    behind = part[len(part) - len(pairs) :] if len(pairs) else part[:0]
+    repeated = np.zeros(len(words), bool)  # words that are the one before again
+    repeated[len(words) - len(again) :] = again
+    found = [(np.where(repeated, REPEAT, words >> shift), part), (np.where(again, REPEAT, pairs >> shift)[joined], behind[joined])]
     # words with a mark before and behind each, for the character n-grams
+    grams = [(np.full(int(repeated.sum()), REPEAT), part[repeated])]
+    starts, ends, part = starts[~repeated], ends[~repeated], part[~repeated]
     lengths = ends - starts
     at = np.cumsum(lengths + 2) - (lengths + 2)
     marked = np.zeros(int((lengths + 2).sum()), np.uint64)
@@ -59,16 +75,41 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for i in range(n):
                 h = h * np.uint64(0x100000001B3) ^ marked[i : m + i]
             whole = word[:m] == word[n - 1 :]
-            found.append((mix(h[whole]) >> shift, text[word[:m][whole]]))
-    buckets = np.concatenate([f[0] for f in found]).astype(np.int32)
-    owner = np.concatenate([f[1] for f in found])
-    order = np.argsort(owner, kind="stable")
-    return buckets[order], np.searchsorted(owner[order], np.arange(len(parts) + 1))
+            grams.append((mix(h[whole]) >> shift, part[word[:m][whole]]))
+    found.append((np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])))
+    return [(b.astype(np.int64), p) for b, p in found], chain[-1:] if len(words) else lead
+
+
+def all_features(texts: list[str | None], limit: int | None = None) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each family the buckets of features and the text of each, some texts or parts of one at a time."""
+    last = np.zeros(0, np.uint64)
+    for index, parts, more in pieces(texts, *([limit] if limit else [])):
+        found, last = features(parts, more, last)
+        yield [(b, index[p]) for b, p in found]
+
+
+def shares(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets, in order, and the share of each in the document's average."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    totals = np.zeros((FAMILIES, len(texts)))
+    for found in all_features(texts):
+        new = np.concatenate([(i * FAMILIES + f) * BUCKETS + b for f, (b, i) in enumerate(found)])
+        for f, (_, i) in enumerate(found):
+            totals[f] += np.bincount(i, minlength=len(texts))
+        got, n = np.unique(new, return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, got]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    text, family = keys // BUCKETS // FAMILIES, keys // BUCKETS % FAMILIES
+    share = counts / totals[family, text] / (totals > 0).sum(axis=0)[text]
+    place, back = np.unique(text * BUCKETS + keys % BUCKETS, return_inverse=True)
+    share = np.bincount(back, weights=share, minlength=len(place)).astype(np.float32)
+    at = np.searchsorted(place, np.arange(len(texts) + 1) * BUCKETS)
+    return [((place[a:b] % BUCKETS).astype(np.int32), share[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, least: int = 16_000, rate: float = 0.5, seed: int = 10) -> tuple[np.ndarray, float]:
     """(table, bias): each bucket's logit for label 1 against label 0, after training vectors and softmax layer.
-    rows: buckets and counts of each document.  Few rows are gone through more often, for ``least`` steps."""
+    rows: what shares() gives.  Few rows are gone through more often, for ``least`` steps."""
     epochs = max(epochs, -(-least // len(rows)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
@@ -76,10 +117,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            at, n = rows[i]
+            at, share = rows[i]
             lr = rate * (1 - done / steps)
             done += 1
-            share = n / n.sum() if len(n) else n
             hidden = share @ vectors[at]
             s = hidden @ layer + bias
             p = np.exp(s - s.max())
@@ -99,14 +139,14 @@ class QualityModel:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Probability of label 1."""
-        sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
-        for index, parts in pieces(texts):
-            buckets, offsets = features(parts)
-            some = offsets[1:] > offsets[:-1]
-            np.add.at(counts, index, np.diff(offsets))
-            if some.any():
-                np.add.at(sums, index[some], np.add.reduceat(self.table[buckets], offsets[:-1][some]))
-        return 1 / (1 + np.exp(-np.clip(sums / np.maximum(counts, 1) + self.bias, -500, 500)))
+        n = len(texts)
+        sums, counts = np.zeros((FAMILIES, n)), np.zeros((FAMILIES, n))
+        for found in all_features(texts):
+            for f, (buckets, text) in enumerate(found):
+                sums[f] += np.bincount(text, weights=self.table[buckets], minlength=n)
+                counts[f] += np.bincount(text, minlength=n)
+        logits = (sums / np.maximum(counts, 1)).sum(axis=0) / np.maximum((counts > 0).sum(axis=0), 1) + self.bias
+        return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
@@ -120,8 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = sparse_counts(batch["text"].tolist(), features, BUCKETS)
-            packed = [zlib.compress(np.concatenate([np.diff(at, prepend=np.int32(0)), n]).tobytes(), 6) for at, n in found]
+            packed = [zlib.compress(np.diff(at, prepend=np.int32(0)).tobytes() + share.tobytes(), 6) for at, share in shares(batch["text"].tolist())]
             yield pd.DataFrame({"doc": batch["doc"], "quality": batch["quality"], "packed": packed})
 
     # at most about ``sample`` rows of two numbers: small enough to send to every executor
@@ -135,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     while got:
         _, quality, packed = got.pop()  # freed one by one
         both = np.frombuffer(zlib.decompress(packed), np.int32).reshape(2, -1)
-        vectors.append((np.cumsum(both[0]).astype(np.uint16), both[1].astype(np.uint16 if not both[1].size or both[1].max() < 1 << 16 else np.int32)))
+        vectors.append((np.cumsum(both[0]).astype(np.uint16), both[1].view(np.float32)))
         marked.append(quality)
     return QualityModel(*train(vectors, np.array(marked)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
-    """docs with the probability of quality 1 in column ``out``, which replaces one of that name."""
+    """docs with the probability of quality 1 in column ``out``, which replaces one of that name; see unused()."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import op2_chat_format
 from .decontaminate import op9_decontaminate
 from .language import op3_language_id
-from .mixing import op5_mix_sources
+from .mixing import OP5_SQL, op5_mix_sources
 from .near_dup import op6_near_dup
 from .neighbours import op4_nearest
 from .quality import op10_quality
@@ -14,4 +14,4 @@ from .suffix_dedup import op7_suffix_dedup
 from .urls import op1_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_language_id, op4_nearest, op5_mix_sources, op6_near_dup, op7_suffix_dedup, op8_secret_scan, op9_decontaminate, op10_quality)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}

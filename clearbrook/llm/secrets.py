@@ -8,11 +8,15 @@ gives the probability that it is a secret.
 
 Positions are code points of the whole text.  Nulls and odd rows: a null or empty text has no finding; one text may have
 many, none is left out; each of repeated rows has its own; an empty table gives an empty result; other columns are
-left as they are.
+left as they are, whatever their names (only the two that are asked for replace columns of theirs).
+
+The training findings are made up: no labelled findings exist in the tables.  The dictionary is a fixed word list and the
+DICTIONARY words that most documents hold, counted over all of them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from py4j.java_gateway import JavaObject
@@ -21,10 +25,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, unused
 
 # The parts of the candidate pattern.
-HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\\s:,.]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?+"
 NAME = "[A-Za-z0-9_.-]{0,40}(?:password|passwd|passphrase|pwd)\\b[\"']?\\s{0,2}[:=]\\s{0,2}[\"']?"
 ASSIGNED = f"(?i:(?<![A-Za-z0-9_.-]){NAME}[^\\s\"',;<>]{{8,}})"
 LOGIN = "(?<=:)(?<=://[^\\s/:@]{0,64}:)[^\\s/@\"'<>]{3,}+(?=@)"
@@ -52,7 +56,9 @@ server service session setting short simple single site size small source space
 stop store story stream string style submit summer support system table target task team template test text theme
 thread time title today total track type unit update upload user value version video view water web week window work
 world write year
-""".split()[:200]
+""".split()
+#: The corpus's words that the dictionary has besides WORDS.
+DICTIONARY = 200
 #: What the findings' values become in a scrubbed text.
 MASK = "[REDACTED]"
 
@@ -67,28 +73,38 @@ FEATURES = [
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with _gaps and _values, arrays whose parts in turn make up the text up to the last candidate, and _found:
-    array<struct<start, value, before, after>>.  All three are empty for a text without a candidate."""
+    """Adds a struct to docs, under a name that unused(docs, "_at") gives: gaps and values, arrays whose parts in turn make
+    up the text up to the last candidate, rest, the text behind it, and found: array<struct<start, value, before, after>>."""
     # \\G: once the rest has no candidate, the search ends instead of starting over at each of its characters
     pattern = F.lit(f"(?s)\\G(.*?)({CANDIDATE})")
     has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     none = F.array().cast("array<string>")
-    out = docs.withColumn("_has", has)
-    out = out.withColumns({"_gaps": F.when(F.col("_has"), F.regexp_extract_all("text", pattern, 1)).otherwise(none), "_values": F.when(F.col("_has"), F.regexp_extract_all("text", pattern, 2)).otherwise(none)})
+    at, cut, ends_ = unused(docs, "_at", "_cut", "_ends")
+    gaps, values = F.col(f"{cut}.gaps"), F.col(f"{cut}.values")
+    part = lambda i: F.when(has, F.regexp_extract_all("text", pattern, i)).otherwise(none)
+    out = docs.withColumn(cut, F.struct(part(1).alias("gaps"), part(2).alias("values")))
     ends = F.aggregate(
-        F.arrays_zip("_gaps", "_values"),
+        F.arrays_zip(gaps.alias("g"), values.alias("v")),
         F.array(F.lit(0)),
-        lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x["_gaps"]) + F.length(x["_values"]))),
+        lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x["g"]) + F.length(x["v"]))),
     )
-    out = out.withColumn("_ends", ends).withColumn("_rest", F.when(F.col("_has"), F.substring(F.col("text"), F.element_at("_ends", -1) + 1, F.length("text"))).otherwise(F.col("text")))
-    after = lambda i: F.substring(F.coalesce(F.get("_gaps", i + 1), F.col("_rest")), 1, NEAR)
-    found = F.transform("_values", lambda v, i: F.struct((F.get("_ends", i + 1) - F.length(v)).alias("start"), v.alias("value"), F.right(F.get("_gaps", i), F.lit(NEAR)).alias("before"), after(i).alias("after")))
-    return out.withColumn("_found", found)
+    out = out.withColumn(ends_, ends)
+    rest = F.when(F.size(values) > 0, F.substring(F.col("text"), F.element_at(ends_, -1) + 1, F.length("text"))).otherwise(F.col("text"))
+    after = lambda i: F.substring(F.coalesce(F.get(gaps, i + 1), rest), 1, NEAR)
+    found = F.transform(values, lambda v, i: F.struct((F.get(ends_, i + 1) - F.length(v)).alias("start"), v.alias("value"), F.right(F.get(gaps, i), F.lit(NEAR)).alias("before"), after(i).alias("after")))
+    return out.withColumn(at, F.struct(gaps.alias("gaps"), values.alias("values"), rest.alias("rest"), found.alias("found"))).drop(cut, ends_)
+
 
+def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
+    """WORDS and the words of 4 to 12 letters that most documents hold, ties in alphabetical order."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{4,12}(?![a-z])"), 0))
+    top = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
+    return sorted({*WORDS, *(r["w"] for r in top.collect())})
 
-def features(found: Column) -> Column:
-    """For each candidate an array of its numeric features in FEATURES' order."""
-    known = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
+
+def features(found: Column, words: list[str]) -> Column:
+    """For each candidate an array of its numeric features in FEATURES' order; words: the dictionary."""
+    known = "|".join(sorted(words, key=lambda w: (-len(w), w)))
     name = f"(?is)^{NAME}"
 
     def prepared(x: Column) -> Column:
@@ -100,11 +116,11 @@ def features(found: Column) -> Column:
         n = F.greatest(F.length(k), F.lit(1))
         share = lambda pattern: F.regexp_count(k, F.lit(pattern)) / n
         made = {
-            "length": F.least(F.length(k), F.lit(200)),
+            "length": F.length(k),
             "letter_digit": share("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"),
             "case_change": share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
             "digits": share("[0-9]"),
-            "distinct": F.size(F.array_distinct(F.split(F.substring(k, 1, 64), ""))) / F.least(n, F.lit(64)),
+            "distinct": F.size(F.array_distinct(F.split(k, ""))) / F.least(n, F.lit(64)),
             "hex": k.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
             "uuid": k.rlike("^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"),
             "coverage": 1 - F.length(F.regexp_replace(F.lower(k), known, "")) / n,
@@ -179,12 +195,26 @@ def _tree(node: JavaObject) -> Tree:
     return left if left == right else (split.featureIndex(), split.threshold(), left, right)
 
 
-def train_forest(labelled: DataFrame, trees: int = 24, depth: int = 7) -> list[Tree]:
+@dataclass
+class Forest:
+    """Trees, and the dictionary that the feature of coverage looks words up in."""
+
+    trees: list[Tree]
+    words: list[str]
+
+
+def train_forest(labelled: DataFrame, words: list[str] | None = None, trees: int = 24, depth: int = 7) -> Forest:
     """Fits on columns text and label (1.0: secret), every candidate of a text having its label."""
-    rows = located(labelled.select("text", "label").coalesce(1)).select("label", F.explode(features(F.col("_found"))).alias("x"))
+    words = WORDS if words is None else words
+    rows = located(labelled.select("text", "label").coalesce(1)).select("label", F.explode(features(F.col("_at.found"), words)).alias("x"))
     vectors = rows.select("label", array_to_vector("x").alias("features"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=8, featureSubsetStrategy="sqrt").fit(vectors)
-    return [_tree(t._java_obj.rootNode()) for t in model.trees]
+    return Forest([_tree(t._java_obj.rootNode()) for t in model.trees], words)
+
+
+def trained_on(docs: DataFrame) -> Forest:
+    """The forest that the query and the pipeline share: made-up findings, and the dictionary of these documents."""
+    return train_forest(labelled_findings(docs.sparkSession), dictionary(columns_of(docs, "text")))
 
 
 def forest_score(x: Column, forest: list[Tree]) -> Column:
@@ -198,20 +228,22 @@ def forest_score(x: Column, forest: list[Tree]) -> Column:
     return reduce(lambda a, b: a + b, map(walk, forest)) / len(forest)
 
 
-def scan(docs: DataFrame, forest: list[Tree], threshold: float = 0.5, out: str = FINDINGS, clean: str = "scrubbed") -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, out: str = FINDINGS, clean: str = "scrubbed") -> DataFrame:
     """docs with two columns, which replace any of their names: ``out``, an array of struct<start, value, score, secret>
     with all candidates, and ``clean``, the text with MASK in place of every secret.  Rows stay where they are: nothing is shuffled or exploded."""
-    rows = located(docs).withColumn("_x", features(F.col("_found")))
-    rows = rows.withColumn("_scores", F.transform("_x", lambda x: forest_score(x, forest)))
-    found = F.transform("_found", lambda f, i: F.struct(f["start"].alias("start"), f["value"].alias("value"), F.get("_scores", i).alias("score"), (F.get("_scores", i) >= threshold).alias("secret")))
-    rows = rows.withColumn(out, found)
-    parts = F.transform("_gaps", lambda g, i: F.concat(g, F.when(F.get(out, i)["secret"], F.lit(MASK)).otherwise(F.get("_values", i))))
-    rows = rows.withColumn(clean, F.when(F.exists(out, lambda f: f["secret"]), F.concat(F.array_join(parts, ""), F.col("_rest"))).otherwise(F.col("text")))
-    return rows.drop("_has", "_gaps", "_values", "_ends", "_rest", "_found", "_x", "_scores")
+    rows = located(docs)
+    at = rows.columns[-1]
+    (scores, judged) = unused(rows, "_scores", "_judged")
+    rows = rows.withColumn(scores, F.transform(features(F.col(f"{at}.found"), forest.words), lambda x: forest_score(x, forest.trees)))
+    found = F.transform(F.col(f"{at}.found"), lambda f, i: F.struct(f["start"].alias("start"), f["value"].alias("value"), F.get(scores, i).alias("score"), (F.get(scores, i) >= threshold).alias("secret")))
+    rows = rows.withColumn(judged, found)
+    parts = F.transform(F.col(f"{at}.gaps"), lambda g, i: F.concat(g, F.when(F.get(judged, i)["secret"], F.lit(MASK)).otherwise(F.get(F.col(f"{at}.values"), i))))
+    text = F.when(F.exists(judged, lambda f: f["secret"]), F.concat(F.array_join(parts, ""), F.col(f"{at}.rest"))).otherwise(F.col("text"))
+    return rows.withColumns({out: F.col(judged), clean: text}).drop(at, scores, judged)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document: where it stands, its digest, the forest's score and verdict."""
     docs = columns_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    found = scan(docs, train_forest(labelled_findings(spark))).select("doc_id", F.explode(FINDINGS).alias("f"))
+    found = scan(docs, trained_on(docs)).select("doc_id", F.explode(FINDINGS).alias("f"))
     return found.select("doc_id", "f.start", F.length("f.value").alias("chars"), F.sha2(F.col("f.value").cast("binary"), 256).alias("value_sha256"), "f.score", "f.secret")

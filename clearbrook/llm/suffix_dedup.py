@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power_tables, columns_of, forget, mix, swept
+from .common import _power_tables, forget, mix, written
 
 LENGTH = 200
 GRAM = 32
@@ -224,10 +224,10 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(fid, rix, s, e): byte ranges of the texts (fid, rix, data) that repeated windows cover; they may overlap."""
     spark = texts.sparkSession
-    found = swept(texts.mapInPandas(_find_segments, SEGMENTS), "segments")
+    found = written(texts.mapInPandas(_find_segments, SEGMENTS), "segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("x"), F.max("seg").alias("y")).filter("c > 1")
-    met = swept(found.join(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor"), "met")
-    forget(spark, found)
+    met = written(found.join(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor"), "met")
+    forget(found)
     plain = met.filter("not mixed").select("fid", "rix", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("e"))
 
     mixed = met.filter("mixed").drop("mixed")
@@ -235,7 +235,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     size = distinct.groupBy("anchor").agg(F.count("*").alias("k"))
     distinct = distinct.join(size, "anchor")
     cut = distinct.join(texts, ["fid", "rix"]).select("anchor", "seg", "copies", "k", F.substring("data", F.col("lo") + 1, F.col("n") - 1 + LENGTH).alias("data"))
-    cut = swept(cut, "cut")
+    cut = written(cut, "cut")
     total = cut.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
     in_block = cut.filter(F.col("k") <= HOT).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int"))
@@ -244,8 +244,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     windows = hot.mapInPandas(_window_hashes, "anchor long, seg long, copies long, skip int, h1 long, h2 long")
     often = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).filter("c > 1").select("h1", "h2")
     runs = runs.unionByName(windows.join(often, ["h1", "h2"], "left_semi").select("anchor", "seg", "skip", F.lit(1).alias("m")))
-    runs = swept(runs, "runs")
-    forget(spark, cut)
+    runs = written(runs, "runs")
+    forget(cut)
     ranges = mixed.join(runs, ["anchor", "seg"]).select("fid", "rix", (F.col("lo") + F.col("skip")).alias("s"), (F.col("lo") + F.col("skip") + F.col("m") - 1 + LENGTH).alias("e"))
     return plain.unionByName(ranges)
 
@@ -253,7 +253,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 def remove_repeats(rows: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of rows (fid, rix, doc_id, data), fid and rix naming a row."""
     spans = repeated_spans(rows.select("fid", "rix", "data")).groupBy("fid", "rix").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans = swept(spans, "spans")
+    spans = written(spans, "spans")
     joined = rows.join(spans, ["fid", "rix"], "left").select("doc_id", "data", "spans")
     return joined.mapInPandas(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
