@@ -49,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -88,6 +88,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(rid, doc): every row, as a struct, under a number that lasts; a table of written()."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("doc")), "rows")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -180,9 +186,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the values by the base's powers, and the inverse powers: (sums[e] - sums[s]) * inverse[s] depends
+    on the values from s to e alone."""
+    up, down = _power_tables(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    return sums, down
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's values; equal spans hash alike wherever they stand."""
-    up, down = _power_tables(len(codes))
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    sums, down = span_sums(codes)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

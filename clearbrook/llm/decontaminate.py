@@ -8,15 +8,22 @@ more, or if the whole item lies there with a similarity of SIMILARITY or more.
 
 Words are lower-cased runs without white space, reduced to their letters and digits; what has none is no word.
 
-The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, its size being counted first; a larger one
-costs a pass over the documents for each block, never more memory.  Nulls and odd rows: a null or empty text leaks
-nothing, a null or wordless item is leaked by nothing; items of fewer than five words must be there word for word;
-each of repeated rows is reported; empty tables give empty results; other columns are left as they are.
+The benchmark goes to the executors in blocks of at most BLOCK_WORDS words (an item of more is a block of its own).  The
+driver reads one block at a time; with several, the documents are gone through once for each block, whose hits are
+written down before the next block is sent, so memory doesn't grow with the benchmark.  Places of a text with equal words
+around them, as far as the longest item reaches, meet the same items in the same way: only the first is followed up, so a
+common seed in a repetitive text costs no product of places.
+
+Nulls and odd rows: a null or empty text leaks nothing, a null or wordless item is leaked by nothing; an item with a null
+item_id is looked for as any; items of fewer than five words must be there word for word; each of repeated rows is
+reported; empty tables give empty results; other columns are left as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, columns_of, mix, span_hashes, word_spans
+from .common import code_points, columns_of, mix, numbered, span_hashes, span_sums, word_spans, written
 
 # The masks, each of weight five.
 MASKS = ("11111", "1101101", "10110011", "1110010001")
@@ -88,10 +95,11 @@ def longest_stretch(same: np.ndarray) -> tuple[int, int]:
 class Benchmark:
     """A block of items: their words, and the sorted seeds of every mask with where each stands."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str]):
+        self.ids = ids
         self.words, self.offsets = word_hashes(texts)
         sizes = np.diff(self.offsets)
+        self.longest = int(sizes.max(initial=0))
         self.masks = [*MASKS, *("1" * n for n in sorted({int(s) for s in sizes if 0 < s < 5}))]
         self.seeds = []
         for k, mask in enumerate(self.masks):
@@ -112,6 +120,7 @@ class Benchmark:
         """For each text, its leaked items with the stretch of most equal words of each."""
         words, offsets = word_hashes(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        sums, down = span_sums(words)
         found = []
         for mask, (keys, items, places, seen) in zip(self.masks, self.seeds):
             h = seed_hashes(words, mask)
@@ -119,6 +128,11 @@ class Benchmark:
                 continue
             at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
             at = at[owner[at] == owner[at + len(mask) - 1]]
+            # of places with the same words around them, the first; near a text's ends less stands around
+            low, high = np.maximum(at - self.longest, offsets[owner[at]]), np.minimum(at + self.longest, offsets[owner[at] + 1])
+            around = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+            key = mix(around ^ mix((at - low).astype(np.uint64))) ^ mix(owner[at].astype(np.uint64))
+            at = at[np.sort(np.unique(key, return_index=True)[1])]
             low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
             n = high - low
             pick = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -143,7 +157,7 @@ class Benchmark:
                 got = (int(same[begin:end].sum()), -(low + begin), end - begin)
                 best[text, item] = max(best.get((text, item), got), got)
         for (text, item), (equal, start, n) in sorted(best.items()):
-            out[text].append({"item_id": int(self.ids[item]), "start_word": -start, "n_words": n, "n_equal": equal})
+            out[text].append({"item_id": self.ids[item], "start_word": -start, "n_words": n, "n_equal": equal})
         return out
 
 
@@ -170,21 +184,43 @@ def _leak_finder(held: Broadcast) -> Callable[..., Column]:
     return leaks
 
 
+def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of at most ``most`` words, or of one item; the driver holds a block and a partition."""
+    held: list[tuple[int | None, str]] = []
+    size = 0
+    for item_id, text, n in items.withColumn("n", F.regexp_count("text", F.lit(r"\S+"))).toLocalIterator():
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append((item_id, text))
+        size += n
+    yield held
+
+
+def _sent(docs: DataFrame, block: list[tuple[int | None, str]]) -> Broadcast:
+    block = sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return docs.sparkSession.sparkContext.broadcast(vars(Benchmark([i for i, _ in block], [t for _, t in block])))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, out: str = "leaks") -> DataFrame:
     """docs with column ``out``, which replaces one of that name: an array of struct<item_id, start_word, n_words, n_equal>, empty where the text
-    leaks nothing.  No shuffle; the documents stay where they are."""
-    items = columns_of(benchmark, "item_id", "text").filter("text is not null and item_id is not null")
-    total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_words))
-    held_docs, columns = docs, []
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), F.col("text")), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        part = sorted((r["item_id"], r["text"]) for r in part)
-        held = docs.sparkSession.sparkContext.broadcast(vars(Benchmark([i for i, _ in part], [t for _, t in part])))
-
-        columns.append(f"_leaks{k}")
-        held_docs = held_docs.withColumn(columns[-1], _leak_finder(held)(F.col("text")))
-    return held_docs.withColumn(out, F.concat(*columns)).drop(*columns)
+    leaks nothing.  Nothing is shuffled if the benchmark is one block."""
+    items = columns_of(benchmark, "item_id", "text").filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = _blocks(items, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.withColumn(out, _leak_finder(_sent(docs, first))(F.col("text")))
+    rows = numbered(docs)
+    hits = []
+    for block in chain([first, second], blocks):
+        held = _sent(docs, block)
+        found = rows.select("rid", _leak_finder(held)(F.col("doc.text")).alias("x")).filter(F.size("x") > 0)
+        hits.append(written(found, "leaks"))
+        held.destroy()
+    # a document's items in all blocks: as many as it leaks
+    every = reduce(DataFrame.unionAll, hits).groupBy("rid").agg(F.flatten(F.sort_array(F.collect_list("x"))).alias("x"))
+    names = [f"doc.`{c}`" for c in docs.columns if c.lower() != out.lower()]
+    return rows.join(every, "rid", "left").select(*names, F.coalesce("x", F.array().cast(HITS)).alias(out))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

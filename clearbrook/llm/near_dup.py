@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import code_points, columns_of, forget, mix, span_hashes, word_spans, written
+from .common import code_points, columns_of, forget, mix, numbered, span_hashes, word_spans, written
 from .components import components
 
 REGISTERS = 160
@@ -207,12 +207,6 @@ def _linker(percent: int):  # noqa: ANN202
     return link
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(rid, doc): every row under a number that lasts, written down."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return written(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("doc")), "rows")
-
-
 def _unconnected(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """Classes of keys (key, cid, ...) with their labels, of those keys that have several."""
     now = keys.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))

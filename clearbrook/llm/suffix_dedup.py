@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power_tables, forget, mix, written
+from .common import forget, mix, span_sums, written
 
 LENGTH = 200
 GRAM = 32
@@ -46,20 +46,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return sums, down
-
-
 def segments(data: np.ndarray, owner_ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(lo, n, anchor hash, segment hash) of all segments of texts in a row; owner_ends: where each text ends."""
     width = length - gram + 1
     last = len(data) - length + 1
     if last <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    sums, down = _prefix_hashes(data)
+    sums, down = span_sums(data)
     h = mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
     # the hash's upper bits with the place below them: the least is the leftmost of the least
     low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
@@ -194,8 +187,8 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for anchor, seg, copies, data in zip(batch["anchor"], batch["seg"], batch["copies"], batch["data"]):
             raw = np.frombuffer(data, np.uint8)
             n = len(raw) - LENGTH + 1
-            sums, down = _prefix_hashes(raw)
-            other, _ = _prefix_hashes(mix(raw.astype(np.uint64) + np.uint64(77)))
+            sums, down = span_sums(raw)
+            other, _ = span_sums(mix(raw.astype(np.uint64) + np.uint64(77)))
             one, two = (mix((s[LENGTH:] - s[:-LENGTH]) * down[:n]) for s in (sums, other))
             yield pd.DataFrame({"anchor": anchor, "seg": seg, "copies": copies, "skip": np.arange(n, dtype=np.int32), "h1": _signed(one), "h2": _signed(two)})
 
@@ -225,14 +218,18 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(fid, rix, s, e): byte ranges of the texts (fid, rix, data) that repeated windows cover; they may overlap."""
     spark = texts.sparkSession
     found = written(texts.mapInPandas(_find_segments, SEGMENTS), "segments")
+    # here and below both sides of a join are tables: a skewed join's tasks can then be split, whatever anchor is common
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("x"), F.max("seg").alias("y")).filter("c > 1")
-    met = written(found.join(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor"), "met")
+    anchors = written(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchors")
+    met = written(found.join(anchors, "anchor"), "met")
     forget(found)
+    forget(anchors)
     plain = met.filter("not mixed").select("fid", "rix", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("e"))
 
     mixed = met.filter("mixed").drop("mixed")
     distinct = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("fid", "rix", "lo", "n")).alias("r")).select("anchor", "seg", "copies", "r.*")
-    size = distinct.groupBy("anchor").agg(F.count("*").alias("k"))
+    distinct = written(distinct, "distinct")
+    size = written(distinct.groupBy("anchor").agg(F.count("*").alias("k")), "sizes")
     distinct = distinct.join(size, "anchor")
     cut = distinct.join(texts, ["fid", "rix"]).select("anchor", "seg", "copies", "k", F.substring("data", F.col("lo") + 1, F.col("n") - 1 + LENGTH).alias("data"))
     cut = written(cut, "cut")
@@ -243,7 +240,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     hot = cut.filter(F.col("k") > HOT).select("anchor", "seg", "copies", "data")
     windows = hot.mapInPandas(_window_hashes, "anchor long, seg long, copies long, skip int, h1 long, h2 long")
     often = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).filter("c > 1").select("h1", "h2")
-    runs = runs.unionByName(windows.join(often, ["h1", "h2"], "left_semi").select("anchor", "seg", "skip", F.lit(1).alias("m")))
+    # a segment has LENGTH - GRAM + 1 windows at most; those that follow each other are one run
+    again = windows.join(often, ["h1", "h2"], "left_semi").groupBy("anchor", "seg").agg(F.sort_array(F.collect_list("skip")).alias("a"))
+    edge = lambda step: F.filter("a", lambda i: ~F.array_contains("a", i + step))
+    again = again.select("anchor", "seg", F.explode(F.arrays_zip(edge(-1).alias("lo"), edge(1).alias("hi"))).alias("r"))
+    runs = runs.unionByName(again.select("anchor", "seg", F.col("r.lo").alias("skip"), (F.col("r.hi") - F.col("r.lo") + 1).cast("int").alias("m")))
     runs = written(runs, "runs")
     forget(cut)
     ranges = mixed.join(runs, ["anchor", "seg"]).select("fid", "rix", (F.col("lo") + F.col("skip")).alias("s"), (F.col("lo") + F.col("skip") + F.col("m") - 1 + LENGTH).alias("e"))
@@ -253,6 +254,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 def remove_repeats(rows: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of rows (fid, rix, doc_id, data), fid and rix naming a row."""
     spans = repeated_spans(rows.select("fid", "rix", "data")).groupBy("fid", "rix").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # a span has 200 bytes or more of its document and comes from one segment
     spans = written(spans, "spans")
     joined = rows.join(spans, ["fid", "rix"], "left").select("doc_id", "data", "spans")
     return joined.mapInPandas(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

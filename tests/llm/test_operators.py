@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -460,6 +461,57 @@ def test_the_longest_stretch_is_judged(spark):
     assert {r["doc_id"]: [(x["start_word"], x["n_words"], x["n_equal"]) for x in r["leaks"]] for r in got} == {12: [(2, 27, 24)], 10: [(2, 30, 26)], 1: []}
 
 
+def brute_leaks(items, docs):
+    """All pairs of a document and an item of which 13 words or more, or the whole item, lie there with 80 % equal words
+    and with an exact or spaced run of five."""
+    out = set()
+    for i, d in enumerate(docs):
+        for j, t in enumerate(items):
+            for shift in range(-len(t) + 1, len(d)):
+                lo, hi = max(shift, 0), min(shift + len(t), len(d))
+                same = np.array([d[k] == t[k - shift] for k in range(lo, hi)], bool)
+                spots = [p for m in decontaminate.MASKS for p in range(len(same) - len(m) + 1) if all(same[p + q] for q, c in enumerate(m) if c == "1")]
+                a, b = decontaminate.longest_stretch(same)
+                if spots and (b - a >= 13 or len(same) == len(t) and same.sum() >= 0.8 * len(t)):
+                    out.add((i, j))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = np.random.default_rng(19)
+    common = [f"c{k}" for k in range(5)]
+    items = [common + [f"w{rng.integers(60)}" for _ in range(int(rng.integers(4, 30)))] for _ in range(12)]
+    docs = []
+    for i in range(40):
+        t = list(items[int(rng.integers(12))])
+        for k in rng.integers(0, len(t), int(rng.integers(0, 7))):
+            t[k] = "zzz"
+        docs.append([f"w{rng.integers(60)}" for _ in range(int(rng.integers(0, 12)))] + t[int(rng.integers(0, 6)) :] + common * int(rng.integers(0, 5)))
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = brute_leaks(items, docs)
+    for block in (250_000, 60):
+        assert {(r["doc_id"], x["item_id"]) for r in decontaminate.find_leaks(rows, bench, block_words=block).collect() for x in r["leaks"]} == want
+
+
+def test_common_seeds_cost_no_product():
+    common = "one two three four five"
+    block = decontaminate.Benchmark(list(range(200)), [f"{common} " + " ".join(f"x{i}y{k}" for k in range(25)) for i in range(200)])
+    began = time.process_time()
+    assert block.hits([f"{common} " * 2_000]) == [[]] and time.process_time() - began < 2
+
+
+def test_leaks_keep_columns_and_null_items(spark):
+    words_ = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words_, "a", "b"), (2, "nothing", "a", "b")], "doc_id long, text string, _leaks0 string, rid string")
+    bench = spark.createDataFrame([(None, words_), (3, " ".join(f"v{i}" for i in range(30)))], "item_id long, text string")
+    for block in (250_000, 10):
+        got = {r["doc_id"]: r for r in decontaminate.find_leaks(docs, bench, block_words=block).collect()}
+        assert [x["item_id"] for x in got[1]["leaks"]] == [None] and got[2]["leaks"] == [] and (got[1]["_leaks0"], got[1]["rid"]) == ("a", "b")
+    plan = decontaminate.find_leaks(docs, bench, block_words=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan  # the blocks' passes are over and written: no plan holds two of them
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(0, "the cat sat on the mat")], "item_id long, text string")
     got = decontaminate.find_leaks(odd, bench).collect()
