@@ -164,14 +164,13 @@ def test_quality_odd_rows(spark, odd, none):
 # --- 4
 
 
-def test_neighbours_against_brute_force(spark):
-    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+def recall(spark, table, **settings):
     e = table.toPandas()
     v, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()
     vectors = common.written(neighbours.valid_vectors(table), "v")
-    index, shards = neighbours.build_index(vectors, shard_rows=150)
+    index = neighbours.build_index(vectors, **settings)
     got = defaultdict(list)
-    for r in neighbours.search_index(index, shards, vectors.filter("vec_id % 100 = 0")).orderBy("rank").collect():
+    for r in neighbours.search_index(index, vectors.filter("vec_id % 100 = 0")).orderBy("rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     hits = 0
     for q, found in got.items():
@@ -179,17 +178,39 @@ def test_neighbours_against_brute_force(spark):
         best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
         hits += len(set(best) & {i for i, _ in found})
         assert all(abs(s - d[ids == i][0]) < 1e-12 for i, s in found) and len(found) == 10
-    assert shards > 1 and hits / (10 * len(got)) >= 0.9
+    return index, hits / (10 * len(got))
+
+
+def test_neighbours_against_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index, found = recall(spark, table, shard_rows=600)
+    assert index.table.count() > 2 and found >= 0.9
+
+
+def test_neighbours_of_clusters_ask_few_cells(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 16)) * 9
+    v = centres[rng.integers(12, size=3_000)] + rng.normal(size=(3_000, 16))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index, found = recall(spark, table, shard_rows=250)
+    assert index.cells[16].reach < len(index.cells[16].centres) == 12 and found >= 0.9
+
+
+def test_neighbours_equal_sql(spark):
+    got = neighbours.op4_nearest(spark, SF)
+    assert {tuple((c, r[c]) for c in ("query_id", "rank", "vec_id", "score")) for r in got.collect()} == sql_rows(neighbours.OP4_SQL)
 
 
 def test_neighbours_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.1]), (6, [2.0, 0.0])]
-    vectors = common.written(neighbours.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "v")
-    index, shards = neighbours.build_index(vectors)
-    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.search_index(index, shards, vectors.filter("vec_id = 0")).orderBy("rank").collect()]
-    assert got == [(1, 5, 0.0), (2, None, pytest.approx(0.1)), (3, 6, 1.0), (4, 6, 1.0)]
+    rows = [(0, [1.0, 0.0], "x"), (1, None, "x"), (2, [0.0, 0.0], "x"), (3, [float("nan"), 1.0], "x"), (4, [1.0, None], "x"), (5, [1.0, 0.0], "x"), (6, [2.0, 0.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (None, [1.0, 0.1], "x"), (6, [2.0, 0.0], "x"), (2**63 - 1, [1.0, 0.05], "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rid string")
+    vectors = common.written(neighbours.valid_vectors(table), "v")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.search_index(neighbours.build_index(vectors), vectors.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 5, 0.0), (2, 2**63 - 1, pytest.approx(0.05)), (3, None, pytest.approx(0.1)), (4, 6, 1.0), (5, 6, 1.0)]
     crowd = neighbours.Graph.built(np.arange(300, dtype=float)[:, None])
-    assert crowd.search(np.array([150.2]), 20)[:3] == [150, 151, 149]
+    assert crowd.search(np.array([[150.2]]), 20)[0, :3].tolist() == [150, 151, 149]
+    none = neighbours.valid_vectors(table.limit(0))
+    assert neighbours.search_index(neighbours.build_index(none), none).count() == 0
 
 
 # --- 5
