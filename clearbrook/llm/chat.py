@@ -127,23 +127,50 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     wins = format_windows(rows.unionByName(planted))
     wins = wins.select("conv_id", "window", F.length("text").cast("long").alias("chars"), read_turns(F.col("text"), F.col("n_repeated")).alias("turns"), read_loss(F.col("text"), F.col("spans")).alias("loss"))
-    convs = wins.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "loss"))).alias("w"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_windows"))
+    convs = wins.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("window", "turns", "loss"))).alias("w"), F.sum("chars").alias("formatted_chars"))
     turns = F.flatten(F.transform("w", lambda x: x["turns"]))
     loss = F.array_join(F.transform("w", lambda x: x["loss"]), "")
-    convs = convs.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted_chars", "n_windows")
+    convs = convs.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted_chars")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+    return convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
-OP2_SQL = r"""
-WITH rows AS (
+#: Windows are closed one turn after the other.  The columns of read(): i, the next turn; a, the window's first new turn;
+#: b, the turn its history starts at; done, the text of the windows closed so far.
+OP2_SQL = rf"""
+WITH RECURSIVE rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k,
+    '### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</', '<\/'), ':', '\:') || ': '
+    || replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') AS body
+  FROM rows
+), lists AS (
+  SELECT conv_id, count(*) AS n, list(length(body) + {len(END)} ORDER BY k) AS chars,
+    list_prepend(0, list(len(regexp_extract_all(body, '\p{{L}}{{1,6}}|\p{{N}}{{1,3}}|[^\x09-\x0D \p{{L}}\p{{N}}]')) + 2 ORDER BY k)) AS tokens,
+    CAST(first(role = 'system' ORDER BY k) AS INTEGER) AS sys
+  FROM turns GROUP BY conv_id
+), sums AS (
+  SELECT conv_id, n, sys, list_transform(tokens, lambda t, i: list_sum(tokens[1:i])) AS s, list_transform(list_prepend(0, chars), lambda t, i: list_sum(list_prepend(0, chars)[1:i])) AS c FROM lists
+), states AS (
+  SELECT conv_id, sys AS i, sys AS a, sys AS b, CAST(0 AS HUGEINT) AS done FROM sums
+  UNION ALL
+  SELECT conv_id, i + 1, CASE WHEN is_full THEN i ELSE a END, CASE WHEN NOT is_full THEN b WHEN fixed + s[i + 2] - s[back + 1] > {BUDGET} THEN i ELSE back END,
+    CASE WHEN is_full THEN done + c[i + 1] - c[b + 1] + c[sys + 1] ELSE done END
+  FROM (
+    SELECT t.*, s, c, n, sys, sys * s[2] AS fixed, i > a AND sys * s[2] + s[i + 2] - s[b + 1] > {BUDGET} AS is_full,
+      greatest(sys, least(len(list_filter(s, lambda x: x < s[i + 1] - {HISTORY})), i)) AS back
+    FROM states t JOIN sums USING (conv_id) WHERE i < n
+  )
+), formatted AS (
+  SELECT conv_id, CAST(done + c[n + 1] - c[b + 1] + c[sys + 1] AS BIGINT) AS formatted_chars FROM states JOIN sums USING (conv_id) WHERE i = n
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM rows GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  any_value(formatted_chars) AS formatted_chars
+FROM rows JOIN formatted USING (conv_id) GROUP BY conv_id
 """

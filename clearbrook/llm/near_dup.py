@@ -298,3 +298,31 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component among near duplicates by four-word shingles at 80 %."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+#: Every two documents that share a shingle are compared; hash() stands for a shingle.
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::UBIGINT[] WHEN len(w) < 4 THEN [hash(array_to_string(w, ' '))]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END) AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS cid, len(s) AS n, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY ALL
+), shingles AS (
+  SELECT cid, n, unnest(s) AS h FROM classes
+), links AS (
+  SELECT a.cid AS a, b.cid AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.cid < b.cid
+  GROUP BY a.cid, b.cid HAVING count(*) * 100 >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT cid AS node, cid AS label FROM classes
+  UNION
+  SELECT b, label FROM reached JOIN ways ON node = a
+), labels AS (
+  SELECT node, min(label) AS label FROM reached GROUP BY node
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(label, d.doc_id) AS component_id, d.doc_id = coalesce(label, d.doc_id) AS kept
+FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s LEFT JOIN labels ON node = cid
+"""

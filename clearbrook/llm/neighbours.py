@@ -228,14 +228,14 @@ def fit_cells(sample: np.ndarray, cells: int, k: int = 10, rounds: int = 8, seed
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's index row."""
-    rows = rows.sort_values(["vec_id", "rid"], kind="stable", na_position="last")
+    rows = rows.sort_values(["none", "vec_id", "rid"], kind="stable")
     vectors = np.array(rows["v"].tolist(), np.float64)
     seen: dict[bytes, int] = {}
     node = np.array([seen.setdefault(v.tobytes(), len(seen)) for v in vectors + 0.0], np.int32)
     first = np.unique(node, return_index=True)[1]
     g = Graph.built(vectors[first])
     # ids: those of rows with one, which stand before the rows without
-    ids = rows["vec_id"].dropna().to_numpy(np.int64)
+    ids = rows["vec_id"].to_numpy(np.int64)[~rows["none"].to_numpy(bool)]
     return pd.DataFrame([[int(rows["dim"].iloc[0]), int(rows["cell"].iloc[0]), int(rows["shard"].iloc[0]), rows["rid"].to_numpy(np.int64).tobytes(), ids.tobytes(), node.tobytes(), g.vectors.tobytes(), g.levels.tobytes(), g.base.tobytes(), g.upper.tobytes(), g.entry]], columns=["dim", "cell", "shard", "rows", "ids", "node", "vectors", "levels", "base", "upper", "entry"])
 
 
@@ -286,6 +286,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, sample: int =
     placed = written(_celled(vectors, cells, False), "cells")
     shards = written(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "shards")
     rows = placed.join(F.broadcast(shards), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))  # MOST_CELLS rows for each length
+    rows = rows.withColumns({"none": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(0))})
     table = written(rows.groupBy("dim", "cell", "shard").applyInPandas(_build, INDEX), "hnsw")
     forget(placed)
     return Index(table, shards, cells)
@@ -321,7 +322,9 @@ def search_index(index: Index, queries: DataFrame, k: int = 10, width: int = SEA
                     got += [(d, a >= len(ids), int(ids[a]) if a < len(ids) else 0) for a in at if rids[a] != rid]
                 got.sort()
                 out += [(rid, vec_id, None if none else i, d) for d, none, i in got[:k]]
-        return pd.DataFrame(out, columns=["query_rid", "query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
+        made = pd.DataFrame({c: [x[i] for x in out] for i, c in ((0, "query_rid"), (1, "query_id"), (3, "score"))})
+        made.insert(2, "vec_id", pd.array([x[2] for x in out], dtype="Int64"))
+        return made
 
     found = graphs.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_rid").orderBy("score", F.col("vec_id").asc_nulls_last()))

@@ -265,3 +265,29 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.xxhash64("_metadata.file_path").alias("fid"), F.col("_metadata.row_index").alias("rix"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     return remove_repeats(rows)
+
+
+#: Every window of every text by its hash; texts as hexadecimal digits, two for a byte.
+OP7_SQL = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), chunks AS (
+  SELECT r, o, substr(h, 2 * o + 1, 2 * (1000 + {LENGTH - 1})) AS h FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {LENGTH - 1}, 1000)) AS o FROM texts)
+), windows AS (
+  SELECT r, o + i AS p, hash(substr(h, 2 * i + 1, {2 * LENGTH})) AS w FROM (SELECT r, o, h, unnest(range(len(h) // 2 - {LENGTH - 1})) AS i FROM chunks)
+), often AS (
+  SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), hits AS (
+  SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM windows SEMI JOIN often USING (w)
+), runs AS (
+  SELECT r, min(p) AS s, max(p) + {LENGTH} AS e FROM (SELECT r, p, count(*) FILTER (gap IS NULL OR gap > {LENGTH}) OVER (PARTITION BY r ORDER BY p) AS k FROM hits) GROUP BY r, k
+), gaps AS (
+  SELECT r, e AS s, lead(s) OVER (PARTITION BY r ORDER BY s) AS e FROM (SELECT r, s, e FROM runs UNION ALL SELECT r, -1, 0 FROM texts)
+), kept AS (
+  SELECT r, coalesce(string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, len(h) // 2) - s)), '' ORDER BY s), '') AS h FROM gaps JOIN texts USING (r) GROUP BY r
+), sums AS (
+  SELECT r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+)
+SELECT doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM texts t JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""

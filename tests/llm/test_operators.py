@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clearbrook.llm import chat, common, decontaminate, language, mixing, near_dup, neighbours, quality, secrets, suffix_dedup, urls
+from clearbrook.llm import chat, common, decontaminate, language, mixing, near_dup, neighbours, quality, queries, secrets, suffix_dedup, urls
 from clearbrook.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +38,15 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def sql_rows(sql):
+    c = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = c.sql(sql)
+    names = sorted(got.columns, key=lambda c: c)
+    return {tuple((c, r[got.columns.index(c)]) for c in names) for r in got.fetchall()}
+
+
 # --- shared arrays
 
 
@@ -79,12 +88,19 @@ def test_url_rules_and_odd_urls(spark):
 # --- 2
 
 
-def test_chat_digest_equals_sql(spark):
-    c = duckdb.connect()
-    c.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    want = {r[0]: r[1:] for r in c.sql(chat.OP2_SQL).fetchall()}
-    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op2_chat_format(spark, SF).collect()}
-    assert got == want
+@pytest.mark.parametrize("name", ["op2_chat_format", "op4_nearest", "op5_mix_sources", "op6_near_dup", "op7_suffix_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    assert {tuple((c, r[c]) for c in sorted(df.columns)) for r in df.collect()} == sql_rows(queries.ORACLES[name])
+
+
+def test_chat_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, window string, turns string"
+    rows = [(1, 0, "user", "b", "x", "x"), (1, 0, "user", "a", "x", "x"), (1, 0, "assistant", "c", "x", "x"), (1, 0, "user", "a", "x", "x"), (1, None, None, None, "x", "x")]
+    wins = chat.format_windows(spark.createDataFrame(rows, schema))
+    got = wins.select(chat.read_turns(F.col("text"), F.col("n_repeated")).alias("new"), chat.read_loss(F.col("text"), F.col("spans")).alias("loss")).collect()
+    assert [(t["role"], t["text"]) for r in got for t in r["new"]] == [("", ""), ("assistant", "c"), ("user", "a"), ("user", "a"), ("user", "b")] and "".join(r["loss"] for r in got) == "c"
+    assert chat.format_windows(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_chat_windows_fit_and_round_trip(spark):
@@ -196,11 +212,6 @@ def test_neighbours_of_clusters_ask_few_cells(spark):
     assert index.cells[16].reach < len(index.cells[16].centres) == 12 and found >= 0.9
 
 
-def test_neighbours_equal_sql(spark):
-    got = neighbours.op4_nearest(spark, SF)
-    assert {tuple((c, r[c]) for c in ("query_id", "rank", "vec_id", "score")) for r in got.collect()} == sql_rows(neighbours.OP4_SQL)
-
-
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], "x"), (1, None, "x"), (2, [0.0, 0.0], "x"), (3, [float("nan"), 1.0], "x"), (4, [1.0, None], "x"), (5, [1.0, 0.0], "x"), (6, [2.0, 0.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (None, [1.0, 0.1], "x"), (6, [2.0, 0.0], "x"), (2**63 - 1, [1.0, 0.05], "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rid string")
@@ -256,19 +267,6 @@ def test_mix_follows_its_schedule(spark, documents, monkeypatch):
     assert all(r["taken"] == (3 * r["size"] if r["source"] == first else 0) for r in got)
 
 
-def sql_rows(sql):
-    c = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
-        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got = c.sql(sql)
-    return {tuple(zip(got.columns, r)) for r in got.fetchall()}
-
-
-def test_mix_equals_sql(spark):
-    got = mixing.op5_mix_sources(spark, SF)
-    assert {tuple((c, r[c]) for c in ("doc_id", "size", "source_size", "target", "taken", "first_slot")) for r in got.collect()} == sql_rows(mixing.OP5_SQL)
-
-
 # --- 6
 
 
