@@ -1,27 +1,34 @@
 """URL filter: explicit rules first, then multinomial naive Bayes on words that a unigram Viterbi splits hosts into.
 
-Host names run words together ("bestcasinobonus").  The unigram model has a log probability for each known word
-and a penalty for each unknown letter; Viterbi finds the most probable split.  Naive Bayes then scores the host's
-and the path's words, which are features apart ("h:casino", "p:casino").  Word counts come from every url of the
-table; the Bayes model is fitted on labelled urls (SEEDS, unless others are given).
+Host names run words together ("bestcasinobonus").  The unigram model has a log probability for each word: half of it
+goes to the words of the labelled urls, half to the separated letter runs of every url of the table, by the root of
+their counts; anything else costs by its letters.  Viterbi finds the most probable split.  Naive Bayes then scores the
+host's and the path's words, which are features apart ("h:casino", "p:casino").
+
+No list of words is cut: up to MAX_WORDS different ones go to the executors at once; where there are more, the letter runs'
+parts look their costs up by a join, with the same result.  The Bayes model is fitted on labelled urls; those given here
+(labelled()) are made up, since the tables have none: hosts and paths of the SEEDS' words, each with its label.
 
 Nulls and odd rows: a null url, or one without "://", has an empty host and an empty path, no rule, and the
 verdict of the prior alone (allow); repeated rows are judged each; an empty table gives an empty result; other
-columns are ignored.  Long urls are judged whole; Viterbi's work is linear in a label's length.
+columns are ignored.  Long urls are judged whole.  Words that two labels share score 0; a score of just the threshold
+blocks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, lower_ascii
+from .common import columns_of, lower_ascii, written
 
 # The rules as (verdict, host and path); a rule fits its host and all subdomains.
 RULES = [
@@ -51,9 +58,10 @@ child-care/advice farm-market/season win-server/manual online-course/lesson bank
 photo-blog/gallery local-history/map hiking-trails/park water-quality/report poetry-magazine/issue
 """.split()
 
-#: The words the unigram model keeps, most frequent first.
-MAX_WORDS = 50_000
-LONGEST_WORD = 24
+#: Different words that go to the executors as one list; more are looked up by a join.
+MAX_WORDS = 200_000
+#: What a letter costs that no word of the labelled urls accounts for.
+LETTER = 1.2
 #: Words that say nothing about a site.
 PLAIN = {"www", "com", "net", "org", "html", "htm", "php", "index", "http", "https"}
 
@@ -77,47 +85,74 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
     return cases if cases is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def word_counts(urls: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    """Counts of the separated letter runs of all urls' hosts and paths: at most max_words come to the driver,
-    the most frequent, ties in alphabetical order."""
+def word_counts(urls: DataFrame) -> DataFrame:
+    """(w, n): the separated letter runs of all urls' hosts and paths, and how often each occurs."""
     host, path = split_url(F.col("url"))
-    words = urls.select(F.explode(F.regexp_extract_all(F.concat_ws("/", host, lower_ascii(path)), F.lit(f"[a-z]{{2,{LONGEST_WORD}}}"), 0)).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(max_words)
-    return {r["w"]: r["n"] for r in top.collect()}
+    words = urls.select(F.explode(F.regexp_extract_all(F.concat_ws("/", host, lower_ascii(path)), F.lit("[a-z]{2,}"), 0)).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """Unigram Viterbi.  Given words count ``weight`` each besides their corpus counts, so that they split what is
-    run together even if the run itself is frequent."""
-
-    def __init__(self, counts: dict[str, int], known: set[str], weight: float = 20.0):
-        held = Counter({w: math.sqrt(n) for w, n in counts.items()})
-        for w in known:
-            held[w] += weight
-        total = sum(held.values()) or 1.0
+    """Unigram Viterbi.  roots: the root of each corpus word's count; total: their sum over all words."""
+
+    def __init__(self, roots: dict[str, float], known: set[str], total: float):
+        self.known, self.total = known, max(total, 1.0)
+        self.given = math.log(2 * max(len(known), 1))
         # a run that is only known as a whole costs its letters besides, so that it is split where its words are known
-        self.cost = {w: -math.log(n / total) + (0 if w in known else len(w)) for w, n in held.items() if w in known or len(w) > 3}
-        self.unknown = math.log(total) + 3.0
+        self.cost = {w: math.log(2 * self.total / r) + LETTER * len(w) for w, r in roots.items()}
+        self.cost |= {w: min(self.given, math.log(2 * self.total / roots[w]) if w in roots else math.inf) for w in known}
+        self.unknown = math.log(2 * self.total) + 1.0
         self.longest = max(map(len, self.cost), default=1)
         self.split = lru_cache(200_000)(self._split)
 
     def _split(self, run: str) -> tuple[str, ...]:
-        best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
-        for end in range(1, len(run) + 1):
+        """The cheapest parts; a part that is no word costs by its letters, whatever its length."""
+        n = len(run)
+        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        strange, begun = math.inf, 0  # the cheapest way to have an unknown part running up to here, and where it began
+        for end in range(1, n + 1):
+            if best[end - 1] + self.unknown <= strange:
+                strange, begun = best[end - 1] + self.unknown, end - 1
+            strange += LETTER
+            best[end], back[end] = strange, begun
             for start in range(max(0, end - self.longest), end):
                 c = self.cost.get(run[start:end])
-                c = self.unknown + 2.0 * (end - start) if c is None and (end - start == 1 or start == 0 and end == len(run)) else c
                 if c is not None and best[start] + c < best[end]:
                     best[end], back[end] = best[start] + c, start
-        out, end = [], len(run)
+        out, end = [], n
         while end:
-            out.append(run[back[end]:end])
+            out.append(run[back[end] : end])
             end = back[end]
         return tuple(reversed(out))
 
     def features(self, host: str, path: str) -> list[str]:
         """Words of more than one letter, marked by where they stand."""
-        return [f"{k}:{w}" for k, text in (("h", host), ("p", path)) for run in re.findall("[a-z]+", text.lower()) for w in self.split(run) if len(w) > 1 and w not in PLAIN]
+        return marked(host, path, self.split)
+
+
+def marked(host: str, path: str, split: Callable[[str], Sequence[str]]) -> list[str]:
+    return [f"{k}:{w}" for k, text in (("h", host), ("p", path)) for run in re.findall("[a-z]+", lower(text)) for w in split(run) if len(w) > 1 and w not in PLAIN]
+
+
+def lower(text: str) -> str:
+    """A-Z lower-cased, as lower_ascii() does."""
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def joined_splits(urls: DataFrame, counts: DataFrame, known: set[str], total: float) -> DataFrame:
+    """(run, parts): the split of every letter run of the urls, the words' counts being joined to the runs' parts."""
+    host, path = split_url(F.col("url"))
+    runs = urls.select(F.explode(F.regexp_extract_all(F.concat_ws("/", host, lower_ascii(path)), F.lit("[a-z]+"), 0)).alias("run")).distinct()
+    longest = counts.agg(F.coalesce(F.max(F.length("w")), F.lit(0))).first()[0]
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("run") - i + 1, F.lit(longest))), lambda m: F.substr("run", i, m))))
+    parts = runs.filter(F.lit(longest) > 0).select("run", F.explode(F.array_distinct(spans)).alias("w")).filter("length(w) > 1")
+    found = parts.join(counts, "w").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("w", F.sqrt("n").alias("r")))).alias("roots"))
+
+    @F.pandas_udf("array<string>")
+    def split(run: pd.Series, roots: pd.Series) -> pd.Series:
+        return pd.Series([list(Segmenter(dict(r or {}), known, total).split(x)) for x, r in zip(run, roots)], index=run.index, dtype=object)
+
+    return runs.join(found, "run", "left").select("run", split("run", "roots").alias("parts"))
 
 
 class NaiveBayes:
@@ -137,33 +172,71 @@ class NaiveBayes:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def seeds() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block) of the labelled examples."""
-    return [(*x.partition("/")[::2], label) for label, rows in ((1, SEEDS_BLOCK), (0, SEEDS_ALLOW)) for x in rows]
-
-
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: list[tuple[str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
+def labelled(n: int = 3_000) -> list[tuple[str, str, int]]:
+    """(host, path, 1 to block), made up: two of one label's words run together or joined by a sign, some with a word
+    that says nothing, and a path of that label or none."""
+    neutral = ["home", "site", "page", "my", "top", "new", "web", "info", "the", "pro", "zone", "world"]
+    out = []
+    for label, rows in ((1, SEEDS_BLOCK), (0, SEEDS_ALLOW)):
+        words = sorted({w for x in rows for w in re.findall("[a-z]+", x)})
+        for i in range(n // 2):
+            draw = lambda k, some: some[zlib.crc32(f"{label}/{i}/{k}".encode()) % len(some)]  # noqa: B023, E731
+            parts = [draw("a", words), draw("b", words)]
+            if draw("c", [0, 0, 1]):
+                parts.insert(draw("d", [0, 1, 2]), draw("e", neutral))
+            path = draw("f", ["", draw("g", words), draw("g", words) + "/" + draw("h", neutral), draw("h", neutral)])
+            out.append((draw("s", ["", "", "-"]).join(parts), path, label))
+    return out + [(*x.partition("/")[::2], label) for label, rows in ((1, SEEDS_BLOCK), (0, SEEDS_ALLOW)) for x in rows]
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, examples: list[tuple[str, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """page_id, url, host, path, rule, verdict, spam (the method's probability of block), words (the segmented
-    features).  No shuffle but for the word counts."""
-    labelled = seeds() if labelled is None else labelled
+    features).  No shuffle but for the word counts, unless there are more than MAX_WORDS of them."""
     urls = columns_of(pages, "page_id", "url")
-    known = {w for h, p, _ in labelled for w in re.findall("[a-z]{2,}", f"{h}/{p}".lower())}
-    split = Segmenter(word_counts(urls), known)
-    bayes = NaiveBayes([(split.features(h, p), y) for h, p, y in labelled])
-    costs, unknown, weight, bias = split.cost, split.unknown, bayes.weight, bayes.bias
-
-    @F.pandas_udf("struct<spam:double,words:array<string>>")
-    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        s, b = Segmenter({}, set()), NaiveBayes([])
-        s.cost, s.unknown, s.longest, b.weight, b.bias = costs, unknown, max(map(len, costs), default=1), weight, bias
-        words = [s.features(h, p) for h, p in zip(hosts, paths)]
-        return pd.DataFrame({"spam": [b.score(w) for w in words], "words": words})
-
+    counts = written(word_counts(urls), "words")
+    size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.sqrt("n")), F.lit(0.0)).alias("total")).first()
+    fits, total = size["n"] <= MAX_WORDS, size["total"]
+    examples = labelled() if examples is None else examples
+    # the words that the examples consist of: those of their separated runs that aren't run together
+    known = {w for x in SEEDS_BLOCK + SEEDS_ALLOW for w in re.findall("[a-z]{2,}", x)} | {w for h, p, _ in examples for w in re.findall("[a-z]{2,}", lower(f"{h}/{p}")) if len(w) <= 8}
+    # the examples are split by the words known from them alone, so that a table's words don't change them
+    plain = Segmenter({}, known, 1e9)
+    bayes = NaiveBayes([(plain.features(h, p), y) for h, p, y in examples])
+    weight, bias = bayes.weight, bayes.bias
     host, path = split_url(F.col("url"))
+    host_, path_ = F.col("host"), F.col("path")
     out = urls.select("page_id", "url", host.alias("host"), path.alias("path"))
-    out = out.withColumn("_rule", match_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)).withColumn("_nb", judge("host", "path"))
-    verdict = F.coalesce("_rule.verdict", F.when(F.col("_nb.spam") >= threshold, "block").otherwise("allow"))
-    return out.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("_nb.spam").alias("spam"), F.col("_nb.words").alias("words"))
+    if fits:
+        roots = {r["w"]: math.sqrt(r["n"]) for r in counts.collect()}  # at most MAX_WORDS
+        held = urls.sparkSession.sparkContext.broadcast((roots, known, total))
+
+        @F.pandas_udf("array<string>")
+        def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            s = Segmenter(*held.value)  # once in a task
+            for hosts, paths in batches:
+                yield pd.Series([s.features(h, p) for h, p in zip(hosts, paths)], index=hosts.index, dtype=object)
+
+        out = out.withColumn("words", split(host_, path_))
+    else:
+        rows = written(out.withColumn("rid", F.monotonically_increasing_id()), "urls")
+        splits = written(joined_splits(urls, counts, known, total), "splits")
+        runs = F.regexp_extract_all(lower_ascii(F.col("t")), F.lit("[a-z]+"), 0)
+        each = rows.select("rid", F.explode(F.array(F.struct(F.lit("h").alias("k"), host_.alias("t")), F.struct(F.lit("p").alias("k"), path_.alias("t")))).alias("x")).select("rid", "x.k", "x.t")
+        each = each.select("rid", "k", F.posexplode(runs).alias("i", "run")).join(splits, "run")
+        # a url's words: as many as its letters
+        words = each.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "i", "parts"))).alias("x"))
+        marks = F.flatten(F.transform("x", lambda x: F.transform(F.filter(x["parts"], lambda w: (F.length(w) > 1) & ~w.isin(*PLAIN)), lambda w: F.concat(x["k"], F.lit(":"), w))))
+        out = rows.join(words.select("rid", marks.alias("words")), "rid", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).drop("rid")
+
+    @F.pandas_udf("double")
+    def judge(words: pd.Series) -> pd.Series:
+        b = NaiveBayes([])
+        b.weight, b.bias = weight, bias
+        return words.map(lambda w: b.score(list(w))).astype(float)
+
+    out = out.withColumn("_rule", match_rule(host_, path_, RULES if rules is None else rules)).withColumn("spam", judge("words"))
+    verdict = F.coalesce("_rule.verdict", F.when(F.col("spam") >= threshold, "block").otherwise("allow"))
+    return out.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "spam", "words")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,44 @@ def test_url_rules_and_odd_urls(spark):
     assert got[rows[9]]["words"][:3] == ["h:best", "h:casino", "h:bonus"] and got[rows[9]]["verdict"] == "block" and got[rows[10]]["verdict"] == "allow"
 
 
+def test_url_words_beyond_the_list_are_joined(spark, monkeypatch):
+    rows = ["http://bestcasinobonus.example.org/pills", "http://casinobrussels.example.org/a", "http://brussels.example.org/x", "http://" + "ab" * 60 + "casino.example.org/", None, "http://City-Library.example.org/News", "http://a.b/"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(rows * 2)], "page_id long, url string, words string")
+    want = {r["page_id"]: (r["words"], r["spam"], r["verdict"]) for r in urls.filter_urls(df).collect()}
+    monkeypatch.setattr(urls, "MAX_WORDS", 1)
+    assert {r["page_id"]: (r["words"], r["spam"], r["verdict"]) for r in urls.filter_urls(df).collect()} == want
+    assert want[0][2] == "block" and want[1][0][:2] == ["h:casino", "h:brussels"] and "h:casino" in want[3][0]
+    assert urls.filter_urls(df.limit(0)).count() == 0 and len(want) == 14 and want[0] == want[7]
+
+
+def brute_split(s, run):
+    """The cheapest of all ways to cut a run."""
+    ways = []
+    for mask in range(1 << (len(run) - 1)):
+        cuts = [0, *(i + 1 for i in range(len(run) - 1) if mask >> i & 1), len(run)]
+        parts = [run[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        ways.append(sum(min(s.cost.get(p, math.inf), s.unknown + urls.LETTER * len(p)) for p in parts))
+    return min(ways)
+
+
+def test_viterbi_finds_the_cheapest_split():
+    rng = np.random.default_rng(1)
+    s = urls.Segmenter({"ab": 3.0, "abc": 2.0, "ca": 1.0, "bcab": 1.0}, {"cab", "ba"}, 7.0)
+    for _ in range(60):
+        run = "".join(rng.choice(list("abc"), int(rng.integers(1, 11))))
+        got = s.split(run)
+        assert "".join(got) == run and math.isclose(sum(min(s.cost.get(p, math.inf), s.unknown + urls.LETTER * len(p)) for p in got), brute_split(s, run))
+
+
+def test_bayes_on_urls_it_has_not_seen():
+    rows = urls.labelled()
+    train, rest = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
+    known = {w for x in urls.SEEDS_BLOCK + urls.SEEDS_ALLOW for w in re.findall("[a-z]{2,}", x)}
+    s = urls.Segmenter({}, known, 1e9)
+    b = urls.NaiveBayes([(s.features(h, p), y) for h, p, y in train])
+    assert sum((b.score(s.features(h, p)) >= 0.5) == y for h, p, y in rest) > 0.95 * len(rest)
+
+
 # --- 2
 
 
