@@ -45,7 +45,7 @@ MARGIN = 0.2
 #: Classes of one key that are compared each with each.
 SMALL = 32
 #: Classes, and shingles of theirs, that one task compares; keys of more are gone through in rounds.
-MOST, MOST_SHINGLES = 4_096, 8_000_000
+MOST, MOST_SHINGLES = 4_096, 2_000_000
 #: Code points that one numpy pass holds, unless a single text is longer.
 PASS = 1_000_000
 

@@ -63,7 +63,7 @@ MAX_WORDS = 200_000
 #: What a letter costs that no word of the labelled urls accounts for.
 LETTER = 1.2
 #: Words that say nothing about a site.
-PLAIN = {"www", "com", "net", "org", "html", "htm", "php", "index", "http", "https"}
+PLAIN = {"www", "blog", "com", "net", "org", "html", "htm", "php", "index", "http", "https"}
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
