@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .patterns import DATE_FORMATS
+from .patterns import DATE_FORMATS, ISO_TIME, MORE_FORMATS, SHORT_FORMATS
 
 # What counts as a boolean in text.
 TRUE_TOKENS = ("true", "yes", "y", "1", "t", "on")
@@ -77,7 +77,12 @@ def to_boolean(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """The timestamp by the first of the known formats that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(java)) for java in DATE_FORMATS.values()])
+    tries = [F.try_to_timestamp(c, F.lit(java)) for java in (*DATE_FORMATS.values(), *MORE_FORMATS)]
+    tries.append(F.when(c.rlike(ISO_TIME), c.try_cast("timestamp")))
+    for java in SHORT_FORMATS:
+        t = F.try_to_timestamp(c, F.lit(java))
+        tries.append(F.when(F.year(t) >= 2069, t - F.make_interval(F.lit(100))).otherwise(t))
+    return F.coalesce(*tries)
 
 
 def clip(c: Column, low: Column, high: Column) -> Column:

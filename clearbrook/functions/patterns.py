@@ -33,6 +33,13 @@ DATE_FORMATS = {
     "%m/%d/%Y %H:%M:%S": "M/d/yyyy H:m:s",
 }
 
+# Further formats that dates are read by, after those above: the families below in all their spellings.
+MORE_FORMATS = ("d-MMM-yyyy", "d-MMMM-yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy H:m", "yyyy-M-d H:m")
+# Formats of two-digit years, of which 69 and more are of the last century.
+SHORT_FORMATS = ("M/d/yy", "d/M/yy", "d-MMM-yy")
+#: Points in time with a T or a fraction of a second.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
+
 # Families of date spellings that a column may mix.
 DATE_FAMILIES = {
     "iso": r"^\d{4}-\d{2}-\d{2}",

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import DATE_FORMATS, any_missing, changed, clip, is_missing, java_format, parse_date, parse_number, strip, title, to_boolean
+from ..functions.expressions import NUMBER
+from ..functions.patterns import ISO_TIME, MORE_FORMATS, SHORT_FORMATS
 from ..models import TransformationResult
 from ..plans.metrics import comparable, kind_of, outlier_fences
 
@@ -32,6 +34,14 @@ class Step:
     code: str
 
 
+#: Code that strips white space, and that reads a date, of the column {q}.
+STRIPPED = "F.regexp_replace(F.col({q!r}).cast('string'), r'(?U)^\\s+|\\s+$', '')"
+_TIMES = [*DATE_FORMATS.values(), *MORE_FORMATS]
+DATE_CODE = (
+    f"F.coalesce(*[F.try_to_timestamp({{q!r}}, F.lit(p)) for p in {_TIMES!r}], F.when(F.col({{q!r}}).rlike({ISO_TIME.replace('{', '{{').replace('}', '}}')!r}), F.col({{q!r}}).try_cast('timestamp')), "
+    f"*[F.when(F.year(t) >= 2069, t - F.make_interval(F.lit(100))).otherwise(t) for t in [F.try_to_timestamp({{q!r}}, F.lit(p)) for p in {list(SHORT_FORMATS)!r}]])"
+)
+
 Transformer = Callable[..., Step]
 _transformers: dict[str, Transformer] = {}
 
@@ -94,11 +104,14 @@ def medians(df: DataFrame, columns: list[str], approximate: bool = False) -> dic
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, Any]:
-    """The most frequent value of each column, the smallest of equally frequent ones."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.mode(F.when(~is_missing(_col(c), df.schema[c].dataType), _col(c)), True).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    """The most frequent value of each column, the smallest of equally frequent ones: values are counted where they are
+    before any is shuffled, and no task holds them all."""
+    out = {}
+    for c in columns:
+        held = df.filter(~is_missing(_col(c), df.schema[c].dataType)).groupBy(_col(c).alias("v")).agg(F.count("*").alias("n"))
+        top = held.orderBy(F.desc("n"), "v").limit(1).collect()
+        out[c] = top[0]["v"] if top else None
+    return out
 
 
 def fences(df: DataFrame, columns: list[str], method: str, threshold: float, approximate: bool = False) -> dict[str, tuple[float, float]]:
@@ -148,7 +161,7 @@ def missing(df: DataFrame, columns: list[str] | None = None, strategy: str = "dr
     numeric = [c for c in columns if kind_of(df.schema[c].dataType) == "numeric"]
     if strategy == "fill_median":
         got = medians(df, numeric, approximate)
-        code = [f"df = df.withColumn({c!r}, F.coalesce(F.nanvl(F.col({'`' + c + '`'!r}).cast('double'), F.lit(None)), F.lit(df.agg(F.median({'`' + c + '`'!r})).first()[0])))" for c in numeric]
+        code = [f"df = df.withColumn({c!r}, F.coalesce({_number(c)}, F.lit(df.agg(F.median({_number(c)})).first()[0])))" for c in numeric]
         return Step(_fill(df, got), _total(_masks(df, [c for c in numeric if got[c] is not None])), columns, "\n".join(code))
     if strategy == "fill_mode":
         got = modes(df, columns)
@@ -181,13 +194,18 @@ def _mode_code(c: str) -> str:
     return f"df = df.withColumn({c!r}, F.coalesce(F.col({q!r}), F.lit(df.agg(F.mode({q!r}, True)).first()[0])))"
 
 
+def _number(c: str) -> str:
+    """Code of a column as a double, not-a-number taken as missing."""
+    return f"F.nanvl(F.col({f'`{c}`'!r}).cast('double'), F.lit(None).cast('double'))"
+
+
 def _clip_code(c: str, method: str, threshold: float) -> str:
     q = f"`{c}`"
     if method == "iqr":
-        take = f"q1, q3 = df.agg(F.percentile(F.col({q!r}).cast('double'), F.array(F.lit(0.25), F.lit(0.75)))).first()[0]\nlow, high = q1 - {threshold} * (q3 - q1), q3 + {threshold} * (q3 - q1)"
+        take = f"q1, q3 = df.agg(F.percentile({_number(c)}, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]\nlow, high = q1 - {threshold} * (q3 - q1), q3 + {threshold} * (q3 - q1)"
     else:
-        take = f"mean, std = df.agg(F.avg({q!r}), F.stddev_samp({q!r})).first()\nlow, high = mean - {threshold} * std, mean + {threshold} * std"
-    return f"{take}\ndf = df.withColumn({c!r}, F.when(F.col({q!r}) < low, low).when(F.col({q!r}) > high, high).otherwise(F.col({q!r}).cast('double')))"
+        take = f"mean, std = df.agg(F.avg({_number(c)}), F.stddev_samp({_number(c)})).first()\nlow, high = mean - {threshold} * std, mean + {threshold} * std"
+    return f"{take}\ndf = df.withColumn({c!r}, F.when(F.col({q!r}) < low, low).when((F.col({q!r}) > high) & ~F.isnan(F.col({q!r}).cast('double')), high).otherwise(F.col({q!r}).cast('double')))"
 
 
 # --- rows and columns ---------------------------------------------------------------------------------------------
@@ -197,7 +215,8 @@ def duplicates(df: DataFrame, keep: str | bool = "first", subset: list[str] | No
     """Keeps the first or the last of equal rows, or none of them (keep=False).  order_by says which is first; without
     it the input's order does."""
     keys = _known(df, subset) or list(df.columns)
-    code = f"df = df.dropDuplicates({list(subset)!r})" if subset else "df = df.dropDuplicates()"
+    turn_ = f"F.row_number().over(Window.partitionBy(*{[f'`{c}`' for c in keys]!r}).orderBy(F.{'desc' if keep == 'last' else 'asc'}('_row_id')))"
+    code = f"df = df.withColumn('_row_id', F.monotonically_increasing_id())\ndf = df.withColumn('_turn', {turn_}).filter('_turn = 1').drop('_turn', '_row_id')" if subset else "df = df.dropDuplicates()"
     if not keys:
         return Step(df, 0, [], code)
     same = [comparable(_col(c), df.schema[c].dataType) for c in keys]
@@ -246,9 +265,9 @@ def types(df: DataFrame, columns: list[str] | None = None, target_type: str = "n
     if target_type == "numeric":
         text = {c: _col(c).cast("int").cast("string") if kind_of(df.schema[c].dataType) == "boolean" else text[c] for c in found}
     how: dict[str, tuple[Callable[[str], Column], str]] = {
-        "numeric": (lambda c: _col(c).cast("double") if kind_of(df.schema[c].dataType) == "numeric" else parse_number(text[c]), "F.expr(f\"try_cast(trim({q}) AS double)\")"),
-        "boolean": (lambda c: _col(c) if kind_of(df.schema[c].dataType) == "boolean" else to_boolean(text[c]), "F.when(F.lower(F.trim({q!r})).isin('true', 'yes', 'y', '1', 't', 'on'), F.lit(True)).when(F.lower(F.trim({q!r})).isin('false', 'no', 'n', '0', 'f', 'off'), F.lit(False))"),
-        "datetime": (lambda c: _col(c) if kind_of(df.schema[c].dataType) == "temporal" else parse_date(text[c]), f"F.coalesce(*[F.try_to_timestamp({{q!r}}, F.lit(p)) for p in {list(DATE_FORMATS.values())!r}])"),
+        "numeric": (lambda c: _col(c).cast("double") if kind_of(df.schema[c].dataType) == "numeric" else parse_number(text[c]), f"F.when(F.col({{q!r}}).cast('string').rlike({NUMBER.replace('{', '{{').replace('}', '}}')!r}), F.regexp_replace({STRIPPED}, r'(?i)^[+]?inf(inity)?$', 'Infinity').try_cast('double'))"),
+        "boolean": (lambda c: _col(c) if kind_of(df.schema[c].dataType) == "boolean" else to_boolean(text[c]), f"F.when(F.lower({STRIPPED}).isin('true', 'yes', 'y', '1', 't', 'on'), F.lit(True)).when(F.lower({STRIPPED}).isin('false', 'no', 'n', '0', 'f', 'off'), F.lit(False))"),
+        "datetime": (lambda c: _col(c) if kind_of(df.schema[c].dataType) == "temporal" else parse_date(text[c]), DATE_CODE),
         "string": (lambda c: text[c], "F.col({q!r}).cast('string')"),
     }
     if target_type not in how or not found:
@@ -256,7 +275,7 @@ def types(df: DataFrame, columns: list[str] | None = None, target_type: str = "n
     make, code = how[target_type]
     made = df.withColumns({c: make(c) for c in found})
     flags = [F.lit(True) if target_type == "string" else make(c).isNotNull() if target_type in ("boolean", "datetime") else changed(text[c], make(c).cast("string")) for c in found]
-    lines = [f"df = df.withColumn({c!r}, {code.format(q=f'`{c}`')})" if target_type != "numeric" else f"df = df.withColumn({c!r}, F.when(F.col({f'`{c}`'!r}).rlike(r'^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$'), F.trim({f'`{c}`'!r}).try_cast('double')))" for c in found]
+    lines = [f"df = df.withColumn({c!r}, {code.format(q=f'`{c}`')})" for c in found]
     return Step(made, _total(flags), list(columns or []), "\n".join(lines))
 
 
@@ -270,7 +289,7 @@ def formats(df: DataFrame, columns: list[str] | None = None, operation: str = "s
         "lowercase": (F.lower, "F.lower({q!r})"),
         "uppercase": (F.upper, "F.upper({q!r})"),
         "titlecase": (title, "F.expr(\"array_join(transform(regexp_extract_all({q}, r'(\\\\p{{L}}+|\\\\P{{L}}+)', 0), x -> initcap(x)), '')\")"),
-        "standardize_dates": (lambda c: F.coalesce(F.date_format(day(c), java), c), f"F.coalesce(F.date_format(F.coalesce(*[F.try_to_timestamp({{q!r}}, F.lit(p)) for p in {list(DATE_FORMATS.values())!r}]), {java!r}), F.col({{q!r}}))"),
+        "standardize_dates": (lambda c: F.coalesce(F.date_format(day(c), java), c), f"F.coalesce(F.date_format({DATE_CODE}, {java!r}), F.col({{q!r}}))"),
     }
     if operation not in how or not found:
         return Step(df, 0, list(columns or []), "")

@@ -95,7 +95,7 @@ def formats(x: Context) -> list[Finding]:
         counts = {k: m[f"date_{k}"] for k in DATE_FAMILIES if m[f"date_{k}"]}
         total = sum(counts.values())
         if len(counts) >= 2 and total / m["filled"] >= 0.5:
-            out.append(Finding("formats", "inconsistent_date_format", Severity.MEDIUM, [c], {"format_counts": counts, "total_matched": total}, f"Column '{c}' has mixed date formats ({', '.join(f'{k}: {n}' for k, n in counts.items())})", 0.85))
+            out.append(Finding("formats", "inconsistent_date_format", Severity.MEDIUM, [c], {"format_counts": counts, "total_matched": total}, f"Column '{c}' has mixed date formats ({', '.join(f'{n} {k}' for k, n in counts.items())})", 0.85))
         left, right = m["padded_left"], m["padded_right"]
         if left + right:
             out.append(Finding("formats", "whitespace_padding", Severity.LOW, [c], {"leading_spaces": left, "trailing_spaces": right}, f"Column '{c}' has {left + right} values with leading/trailing whitespace", 1.0))

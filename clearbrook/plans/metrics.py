@@ -71,7 +71,8 @@ def column_aggregates(name: str, t: T.DataType, approximate: bool = False) -> di
     kind = kind_of(t)
     value = F.when(~is_missing(c, t), c)
     out = {"nulls": F.count_if(is_missing(c, t)), "filled": F.count(value)}
-    out["distinct"] = F.approx_count_distinct(comparable(value, t), 0.01) if approximate else F.count_distinct(comparable(value, t))
+    if approximate:
+        out["distinct"] = F.approx_count_distinct(comparable(value, t), 0.01)
     if kind == "numeric":
         d = value.cast("double")
         out |= {"mean": F.avg(d), "std": F.when(F.count(d) > 1, F.stddev_samp(d)).when(F.count(d) == 1, 0.0), "min": F.min(d), "max": F.max(d), "quartiles": quartiles(d, approximate), "skewness": sample_skewness(d), "kurtosis": sample_kurtosis(d)}
@@ -117,9 +118,30 @@ def measure(df: DataFrame, approximate: bool = False) -> tuple[int, dict[str, di
         rows = row["_n"]
         for i, (n, k) in enumerate(aggs):
             out.setdefault(n, {})[k] = row[f"a{i}"]
+        if not approximate:
+            found = {r["column"]: r["n"] for r in distinct_counts(df, names).collect()}
+            for i, n in enumerate(names):
+                out[n]["distinct"] = found.get(i, 0)
     return rows, out
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): by the column's place, its number of distinct values that aren't missing.  Values are text, whose equality is
+    theirs, or for points in time their microseconds."""
+
+    def text(c: str) -> Column:
+        t, v = df.schema[c].dataType, F.col(f"`{c}`")
+        if kind_of(t) == "nested":
+            return F.when(v.isNotNull(), F.to_json(F.array(v)))
+        if isinstance(t, T.TimestampType):
+            return F.unix_micros(v).cast("string")
+        return F.when(~is_missing(v, t), comparable(v, t).cast("string"))
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("column"), text(c).alias("value")) for i, c in enumerate(columns)])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null").groupBy("column", "value").agg(F.lit(1))
+    return values.groupBy("column").agg(F.count("*").alias("n"))
+
+
 def value_counts(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
     """(column, value, n, rank): the most frequent values of each column, ties by value."""
     schema = df.schema

@@ -15,23 +15,28 @@ STRATA = (2, 20)
 
 
 def row_order(df: DataFrame) -> list[Column]:
-    """A hashed order of rows that depends on their values alone."""
-    values = [F.coalesce(comparable(F.col(f"`{c}`"), df.schema[c].dataType).cast("string") if kind_of(df.schema[c].dataType) != "nested" else F.to_json(F.array(F.col(f"`{c}`"))), F.lit("\0")) for c in df.columns]
-    joined = F.concat_ws("\1", *values)
-    return [F.md5(joined), joined]
+    """A hashed order of rows (two times 64 bits) that depends on their values alone."""
+    values = [comparable(F.col(f"`{c}`"), df.schema[c].dataType) if kind_of(df.schema[c].dataType) != "nested" else F.to_json(F.array(F.col(f"`{c}`"))) for c in df.columns]
+    return [F.xxhash64(*values, F.lit(i)) for i in (1, 2)]
 
 
 def stratum_column(df: DataFrame) -> str | None:
     """The first column with between 2 and 20 distinct values."""
     names = [c for c in df.columns if kind_of(df.schema[c].dataType) != "nested"]
-    if not names:
-        return None
-    # a sketch tells the many-valued columns apart; the few left are counted exactly
-    rough = df.agg(*[F.approx_count_distinct(comparable(F.col(f"`{c}`"), df.schema[c].dataType)).alias(f"a{i}") for i, c in enumerate(names)]).first()
-    few = [c for i, c in enumerate(names) if rough[i] <= 2 * STRATA[1]]
+    return stratum_among(df, names, rough_counts(df, names)) if names else None
+
+
+def rough_counts(df: DataFrame, names: list[str], *more: Column) -> list[int]:
+    """Sketched numbers of distinct values, and what else one pass can count."""
+    return list(df.agg(*[F.approx_count_distinct(comparable(F.col(f"`{c}`"), df.schema[c].dataType)).alias(f"a{i}") for i, c in enumerate(names)], *[m.alias(f"m{i}") for i, m in enumerate(more)]).first())
+
+
+def stratum_among(df: DataFrame, names: list[str], rough: list[int]) -> str | None:
+    """The sketch tells the many-valued columns apart; the sets of the few left, of some 2 * STRATA[1] values, are exact."""
+    few = [c for c, n in zip(names, rough) if n <= 2 * STRATA[1]]
     if not few:
         return None
-    exact = df.agg(*[F.count_distinct(comparable(F.col(f"`{c}`"), df.schema[c].dataType)).alias(f"a{i}") for i, c in enumerate(few)]).first()
+    exact = df.agg(*[F.size(F.collect_set(comparable(F.col(f"`{c}`"), df.schema[c].dataType))).alias(f"a{i}") for i, c in enumerate(few)]).first()
     return next((c for i, c in enumerate(few) if STRATA[0] <= exact[i] <= STRATA[1]), None)
 
 
@@ -44,7 +49,8 @@ def stratified(df: DataFrame, column: str, n: int, order: list[Column] | None =
     turn = F.row_number().over(Window.partitionBy("_stratum").orderBy("_o1", "_o2"))
     one, two = order or row_order(df)
     marked = rows.withColumns({"_stratum": F.col(f"`{column}`"), "_o1": one, "_o2": two}).join(sizes, "_stratum")
-    return marked.withColumn("_turn", turn).filter(F.col("_turn") <= F.col("_take")).select(*[f"`{c}`" for c in df.columns])
+    # the fixed limit lets every task leave out what can't be among the first n before it shuffles
+    return marked.withColumn("_turn", turn).filter(F.col("_turn") <= max(1, n)).filter(F.col("_turn") <= F.col("_take")).select(*[f"`{c}`" for c in df.columns])
 
 
 class Sampler:
@@ -54,14 +60,17 @@ class Sampler:
         self.df, self.size = df, size
         self.rows = df.count()
         self.sampled = self.rows >= threshold
-        self.sample = self._draw() if self.sampled else df
+        # some ``size`` rows, which everything else reads
+        self.sample = self._draw().coalesce(1).cache() if self.sampled else df
         self.sample_rows = self.sample.count() if self.sampled else self.rows
 
     def _draw(self) -> DataFrame:
         df, order = self.df, row_order(self.df)
         gaps = any_missing(df.schema, df.columns)
         some = df.filter(gaps).orderBy(*order).limit(int(self.size * MISSING_SHARE))
-        held, rest = some.count(), df
+        names = [c for c in df.columns if kind_of(df.schema[c].dataType) != "nested"]
+        *rough, found = rough_counts(df, names, F.count_if(gaps))
+        held, rest = min(found, int(self.size * MISSING_SHARE)), df
         if held:
             # all rows but those taken, which come before the last one's key; of rows alike at that key as many are left as weren't taken
             one, two = order
@@ -72,9 +81,10 @@ class Sampler:
             left = alike.count() - taken
             rest = df.filter(~gaps | (one > last["a"]) | ((one == last["a"]) & (two > last["b"])))
             rest = rest.unionByName(alike.limit(left)) if left else rest
-        column = stratum_column(rest)
+        column = stratum_among(rest, names, rough) if names else None
         n = self.size - held
-        return some.unionByName(stratified(rest, column, n) if column else rest.orderBy(*order).limit(n))
+        drawn = stratified(rest, column, n) if column else rest.orderBy(*order).limit(n)
+        return some.unionByName(drawn) if held else drawn
 
     def extrapolate_count(self, n: int) -> int:
         return int(n * self.rows / self.sample_rows) if self.sample_rows else n

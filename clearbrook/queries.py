@@ -356,9 +356,13 @@ def types_boolean(spark: SparkSession, d: str) -> DataFrame:
     return transform("types", _table(spark, d, "lineitem", *LINE.split(", "), f"{WORDY} AS v"), columns=["v"], target_type="boolean")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders")
+#: A date in each of the families that a column may mix, two-digit years and a time of day included.
+_SPELT = "CASE o_orderkey % 9 WHEN 0 THEN 'soon' WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 2 THEN date_format(o_orderdate, 'MM/dd/yyyy') WHEN 3 THEN date_format(o_orderdate, 'MM/dd/yy') WHEN 4 THEN date_format(o_orderdate, 'd-MMM-yyyy') WHEN 5 THEN date_format(o_orderdate, 'dd-MMM-yy') WHEN 6 THEN date_format(o_orderdate, 'MMMM d, yyyy') WHEN 7 THEN date_format(o_orderdate, 'd MMM yyyy') ELSE date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") END AS v"
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders")
 def types_datetime(spark: SparkSession, d: str) -> DataFrame:
-    df = _table(spark, d, "orders", "o_orderkey", "CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS v")
+    df = _table(spark, d, "orders", "o_orderkey", _SPELT)
     return transform("types", df, columns=["v"], target_type="datetime").withColumn("v", F.date_format("v", "yyyy-MM-dd"))
 
 
@@ -387,9 +391,9 @@ def fmt_title(spark: SparkSession, d: str) -> DataFrame:
     return transform("formats", _table(spark, d, "part", "p_partkey", "p_name AS v"), columns=["v"], operation="titlecase")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS v FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%d.%m.%Y') END AS v FROM orders")
 def fmt_dates(spark: SparkSession, d: str) -> DataFrame:
-    df = _table(spark, d, "orders", "o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' WHEN o_orderkey % 3 = 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') ELSE date_format(o_orderdate, 'MMM d, yyyy') END AS v")
+    df = _table(spark, d, "orders", "o_orderkey", _SPELT)
     return transform("formats", df, columns=["v"], operation="standardize_dates", target_format="%d.%m.%Y")
 
 

@@ -241,3 +241,32 @@ def test_every_query_with_sql_is_registered():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(queries.ORACLES) >= 50
+
+
+def test_dates_of_every_family(spark):
+    rows = ["15-Jan-2023", "15-jan-23", "01/15/23", "01/15/2023", "2023-01-15T10:00:00", "2023-01-15", "January 15, 2023", "15 Jan 2023", "15-Jan-1999", "15-Jan-99", "x", None]
+    df = spark.createDataFrame([(v,) for v in rows], "v string")
+    got = [r["v"] for r in run_transformer("formats", df, columns=["v"], operation="standardize_dates", target_format="%Y-%m-%d")[0].collect()]
+    assert got[:1] + got[2:] == ["2023-01-15"] * 7 + ["1999-01-15"] * 2 + ["x", None] and got[1] in ("2023-01-15", "15-jan-23")
+
+
+@pytest.mark.parametrize(
+    "name,params",
+    [
+        ("missing", {"columns": ["n"], "strategy": "fill_median"}), ("missing", {"columns": ["n"], "strategy": "clip_outliers"}), ("missing", {"columns": ["n"], "strategy": "clip_outliers", "method": "zscore", "threshold": 1.0}),
+        ("missing", {"columns": ["t"], "strategy": "fill_mode"}), ("missing", {"columns": ["t"], "strategy": "fill_value", "fill_value": "z"}), ("missing", {"columns": ["t"], "strategy": "empty_to_nan"}), ("missing", {"columns": ["t"], "strategy": "clean_empty_strings"}),
+        ("types", {"columns": ["t"], "target_type": "boolean"}), ("types", {"columns": ["t"], "target_type": "numeric"}), ("types", {"columns": ["t"], "target_type": "datetime"}), ("types", {"columns": ["n"], "target_type": "string"}),
+        ("formats", {"columns": ["t"], "operation": "strip_whitespace"}), ("formats", {"columns": ["t"], "operation": "titlecase"}), ("formats", {"columns": ["t"], "operation": "standardize_dates"}),
+        ("categories", {"columns": ["t"]}), ("columns", {"operation": "drop", "columns": ["t"]}), ("duplicates", {"keep": "last", "subset": ["k"]}), ("duplicates", {"keep": "first", "subset": ["k"]}), ("duplicates", {"keep": False, "subset": ["k"]}),
+    ],
+)
+def test_code_does_what_the_operator_does(spark, name, params):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = [(1, 1.0, "\tyes "), (1, 2.0, " 12\t"), (2, float("nan"), ""), (2, None, None), (3, 900.0, "15-Jan-23"), (4, 3.0, "2023-01-15T10:00:00"), (5, 2.5, "infinity"), (6, 1.5, "-inf"), (7, 2.0, "  "), (8, -700.0, "no"), (9, 2.0, "no"), (10, 2.0, "1e3")]
+    df = spark.createDataFrame(rows, "k long, n double, t string").coalesce(1)
+    want, result = run_transformer(name, df, **params)
+    scope = {"F": F, "Window": Window, "df": df}
+    exec(result.code, scope)
+    assert [str(r) for r in scope["df"].select(*want.columns).orderBy(*want.columns).collect()] == [str(r) for r in want.orderBy(*want.columns).collect()]
