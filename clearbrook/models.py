@@ -34,6 +34,9 @@ class Severity(str, Enum):
     LOW = "low"
 
 
+# Names and defaults of the records and settings below, which callers use.
+
+
 @dataclass
 class ColumnProfile:
     name: str
