@@ -39,7 +39,8 @@ def test_each_stage_decides(spark, stages):
     assert stages["secrets"].filter("text rlike '(?i)token = \"[0-9a-f]{40}\"'").count() == 0
     assert stages["secrets"].filter("n_chars <> length(text)").count() == 0
     mixed = stages["mix"].groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
-    assert all(abs(r["t"] - r["w"]) <= 1 for r in mixed)
+    # within a few of the schedule's blocks, which have one word here
+    assert all(abs(r["t"] - r["w"]) <= 4 for r in mixed)
 
 
 def test_odd_rows(spark):
@@ -54,3 +55,15 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         assert stage(spark, docs, SF).count() <= 6
+
+
+def test_columns_of_any_name_are_kept(spark):
+    import corpus_pipeline
+
+    names = ["_id", "_key", "_rows", "_turn", "_key0", "_score", "_x", "_leaks", "_leaks0", "_clean", "_findings", "_at", "rid", "doc", "label", "component", "n", "x"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("*", *[F.lit(c).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert got.filter(" or ".join(f"`{c}` <> '{c}'" for c in names)).count() == 0 and got.count() > 0, name
+    assert corpus_pipeline.mix(spark, docs, SF).columns == ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot"]
