@@ -21,7 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -62,6 +62,8 @@ photo-blog/gallery local-history/map hiking-trails/park water-quality/report poe
 MAX_WORDS = 200_000
 #: What a letter costs that no word of the labelled urls accounts for.
 LETTER = 1.2
+#: How often a part that no url has counts as seen.
+UNSEEN = 0.5
 #: Words that say nothing about a site.
 PLAIN = {"www", "blog", "com", "net", "org", "html", "htm", "php", "index", "http", "https"}
 
@@ -101,7 +103,7 @@ class Segmenter:
         # a run that is only known as a whole costs its letters besides, so that it is split where its words are known
         self.cost = {w: math.log(2 * self.total / r) + LETTER * len(w) for w, r in roots.items()}
         self.cost |= {w: min(self.given, math.log(2 * self.total / roots[w]) if w in roots else math.inf) for w in known}
-        self.unknown = math.log(2 * self.total) + 1.0
+        self.unknown = math.log(2 * self.total / math.sqrt(UNSEEN))
         self.longest = max(map(len, self.cost), default=1)
         self.split = lru_cache(200_000)(self._split)
 
@@ -172,6 +174,18 @@ class NaiveBayes:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+def single_words(runs: Iterable[str]) -> set[str]:
+    """The runs that don't consist of two or more others: the words of examples whose hosts run words together."""
+    found: set[str] = set()
+    for run in sorted(set(runs), key=lambda w: (len(w), w)):
+        ends = [True] + [False] * len(run)  # whether words found so far reach up to here
+        for end in range(2, len(run) + 1):
+            ends[end] = any(ends[start] and run[start:end] in found for start in range(end - 1))
+        if not ends[-1]:
+            found.add(run)
+    return found
+
+
 def labelled(n: int = 3_000) -> list[tuple[str, str, int]]:
     """(host, path, 1 to block), made up: two of one label's words run together or joined by a sign, some with a word
     that says nothing, and a path of that label or none."""
@@ -197,8 +211,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ex
     size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.sqrt("n")), F.lit(0.0)).alias("total")).first()
     fits, total = size["n"] <= MAX_WORDS, size["total"]
     examples = labelled() if examples is None else examples
-    # the words that the examples consist of: those of their separated runs that aren't run together
-    known = {w for x in SEEDS_BLOCK + SEEDS_ALLOW for w in re.findall("[a-z]{2,}", x)} | {w for h, p, _ in examples for w in re.findall("[a-z]{2,}", lower(f"{h}/{p}")) if len(w) <= 8}
+    known = single_words(w for x in [*SEEDS_BLOCK, *SEEDS_ALLOW, *(lower(f"{h}/{p}") for h, p, _ in examples)] for w in re.findall("[a-z]{2,}", x))
     # the examples are split by the words known from them alone, so that a table's words don't change them
     plain = Segmenter({}, known, 1e9)
     bayes = NaiveBayes([(plain.features(h, p), y) for h, p, y in examples])
