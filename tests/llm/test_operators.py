@@ -348,8 +348,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small, most):
 
 def test_long_sets_are_whole():
     rng = np.random.default_rng(6)
-    text = " ".join(f"w{i}" for i in rng.integers(0, 1 << 40, 150_000))
-    assert len(near_dup.shingle_sets([text], 4)[0]) == len({tuple(text.split()[i : i + 4]) for i in range(150_000 - 3)})
+    words = [f"w{i}" for i in rng.integers(0, 1 << 40, 150_000)]
+    assert len(near_dup.shingle_sets([" ".join(words)], 4)[0]) == len({tuple(words[i : i + 4]) for i in range(150_000 - 3)})
 
 
 def test_near_duplicates_odd_rows(spark, odd, none):
