@@ -113,7 +113,7 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         key = key << np.uint64(9) | padded[i : n + i]
     span = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may stand in any order
         ranked = key[order]
         rank = np.zeros(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]])).astype(np.uint64)
@@ -144,8 +144,8 @@ def long_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
         owner = np.repeat(np.arange(len(low)), sizes)
         at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
         # the extension of an interval by a value: where the suffixes one value longer stand
-        kind = owner * 257 + before[at]
-        by = np.argsort(kind, kind="stable")
+        kind = (owner * 257 + before[at]).astype(np.int32 if len(low) < 1 << 22 else np.int64)
+        by = np.argsort(kind)
         first = np.flatnonzero(np.concatenate([[True], kind[by][1:] != kind[by][:-1]]))
         to = step[at][by]
         new_low, new_high = np.minimum.reduceat(to, first), np.maximum.reduceat(to, first) + 1
