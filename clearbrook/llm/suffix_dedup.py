@@ -38,6 +38,8 @@ PASS = 2_000_000
 #: Bytes of segments that a block holds, about, and distinct segments of an anchor that go into blocks.
 BLOCK = 2_000_000
 HOT = 16_384
+#: Segments of hot anchors whose windows are one batch.
+SOME = 1_000
 
 SEGMENTS = "fid long, rix long, anchor long, seg long, lo int, n int"
 
@@ -184,13 +186,18 @@ def _block_runs(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for anchor, seg, copies, data in zip(batch["anchor"], batch["seg"], batch["copies"], batch["data"]):
-            raw = np.frombuffer(data, np.uint8)
-            n = len(raw) - LENGTH + 1
-            sums, down = span_sums(raw)
-            other, _ = span_sums(mix(raw.astype(np.uint64) + np.uint64(77)))
-            one, two = (mix((s[LENGTH:] - s[:-LENGTH]) * down[:n]) for s in (sums, other))
-            yield pd.DataFrame({"anchor": anchor, "seg": seg, "copies": copies, "skip": np.arange(n, dtype=np.int32), "h1": _signed(one), "h2": _signed(two)})
+        for a in range(0, len(batch), SOME):
+            some = batch.iloc[a : a + SOME]
+            ones, twos = [], []
+            for data in some["data"]:
+                raw = np.frombuffer(data, np.uint8)
+                sums, down = span_sums(raw)
+                other, _ = span_sums(mix(raw.astype(np.uint64) + np.uint64(77)))
+                for s, out in ((sums, ones), (other, twos)):
+                    out.append(mix((s[LENGTH:] - s[:-LENGTH]) * down[: len(raw) - LENGTH + 1]))
+            n = [len(x) for x in ones]
+            skip = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+            yield pd.DataFrame({c: np.repeat(some[c].to_numpy(), n) for c in ("anchor", "seg", "copies")} | {"skip": skip, "h1": _signed(np.concatenate(ones)), "h2": _signed(np.concatenate(twos))})
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
